@@ -41,6 +41,35 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the content-addressed store of all documents and reads each document's ids back from its files."""
+    from gleanery.llm.token_store import store, verify
+
+    path = store(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2)
+    return verify(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "verified")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document; labels are learned only where crc32(doc_id) mod 5 is not 0."""
+    from gleanery.llm.quality_gbdt import fit, remainder, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = remainder(F.col("doc_id"), 5) == 0
+    out = score(docs, fit(docs, table(spark, sf_dir, "labels"), ~held))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document; labels are learned only where crc32(doc_id) mod 3 is not 1."""
+    from gleanery.llm.quality_gbdt import remainder
+    from gleanery.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = remainder(F.col("doc_id"), 3) == 1
+    out = score(docs, fit(docs, table(spark, sf_dir, "labels"), ~held))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every whole text; the digests are derived from the operator's ids and texts."""
     from gleanery.llm.piece_codec import digest_table
@@ -68,7 +97,7 @@ FROM k JOIN conversations c USING (conv_id) GROUP BY ALL
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filter, op6_sentencepiece, op9_chat_collapse)}
+    return {f.__name__: f for f in (op2_url_filter, op3_token_store, op4_quality, op6_sentencepiece, op8_toxicity, op9_chat_collapse)}
 
 
 def oracle_sql() -> dict[str, str]:
