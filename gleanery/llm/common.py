@@ -72,3 +72,14 @@ def pieces(buf: np.ndarray, offs: np.ndarray, most: int = 1 << 21) -> Iterator[t
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
         yield i, j, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
+
+
+#: Most ids of 8 bytes that are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def checked(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """ids, a written table of few narrow columns, with a broadcast hint if it has at most `most` rows."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids

@@ -59,6 +59,29 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every benchmark item."""
+    from gleanery.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL_LEAKS = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+m AS (SELECT unnest([[0, 1, 3, 4, 7], [0, 2, 3, 5, 7], [0, 1, 2, 4, 6]]) AS o),
+ds AS (SELECT doc_id, o, p, [w[p + 1 + o[1]], w[p + 1 + o[2]], w[p + 1 + o[3]], w[p + 1 + o[4]], w[p + 1 + o[5]]] AS k
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 7)) AS p FROM d), m),
+s AS (SELECT item_id, o, p, [w[p + 1 + o[1]], w[p + 1 + o[2]], w[p + 1 + o[3]], w[p + 1 + o[4]], w[p + 1 + o[5]]] AS k
+  FROM (SELECT item_id, w, unnest(range(0, len(w) - 7)) AS p FROM i), m),
+h AS (SELECT DISTINCT doc_id, item_id, ds.p - s.p AS start FROM ds JOIN s USING (o, k)),
+c AS (SELECT h.*, len(i.w) AS item_words, (SELECT count(*) FROM range(0, len(i.w)) t(x) WHERE h.start + x >= 0 AND d.w[h.start + x + 1] = i.w[x + 1]) AS matched
+  FROM h JOIN d USING (doc_id) JOIN i USING (item_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start) AS n FROM c WHERE matched >= 8 AND matched >= 0.5 * item_words)
+SELECT doc_id, item_id, CAST(matched AS INTEGER) AS matched, CAST(item_words AS INTEGER) AS item_words, CAST(start AS INTEGER) AS start FROM r WHERE n = 1
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every document; labels are learned only where crc32(doc_id) mod 3 is not 1."""
     from gleanery.llm.quality_gbdt import remainder
@@ -97,8 +120,8 @@ FROM k JOIN conversations c USING (conv_id) GROUP BY ALL
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filter, op3_token_store, op4_quality, op6_sentencepiece, op8_toxicity, op9_chat_collapse)}
+    return {f.__name__: f for f in (op2_url_filter, op3_token_store, op4_quality, op6_sentencepiece, op7_decontaminate, op8_toxicity, op9_chat_collapse)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": SQL_URL, "op9_chat_collapse": SQL_CHAT}
+    return {"op2_url_filter": SQL_URL, "op7_decontaminate": SQL_LEAKS, "op9_chat_collapse": SQL_CHAT}
