@@ -14,6 +14,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its whole text after line dedup."""
+    from gleanery.llm.line_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judges every page's url. The list: canonical URLs of the pages whose id is divisible by 50."""
     from gleanery.llm.url_filter import canonical, judge, with_parts
@@ -120,7 +127,7 @@ FROM k JOIN conversations c USING (conv_id) GROUP BY ALL
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filter, op3_token_store, op4_quality, op6_sentencepiece, op7_decontaminate, op8_toxicity, op9_chat_collapse)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_token_store, op4_quality, op6_sentencepiece, op7_decontaminate, op8_toxicity, op9_chat_collapse)}
 
 
 def oracle_sql() -> dict[str, str]:
