@@ -126,9 +126,30 @@ FROM k JOIN conversations c USING (conv_id) GROUP BY ALL
 """
 
 
+def op10_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of similar documents."""
+    from gleanery.llm.jaccard_tree import join
+
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+SQL_JACCARD = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [hash(w)]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: hash(w[i:i + 4])) END) AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * o >= 75 * (len(sa.s) + len(sb.s) - o)),
+g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (WITH RECURSIVE t AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT g.b, t.c FROM t JOIN g ON g.a = t.d) SELECT d, min(c) AS c FROM t GROUP BY d)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.c AS component_id FROM s JOIN r ON r.d = s.doc_id
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_token_store, op4_quality, op6_sentencepiece, op7_decontaminate, op8_toxicity, op9_chat_collapse)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_token_store, op4_quality, op6_sentencepiece, op7_decontaminate, op8_toxicity, op9_chat_collapse, op10_jaccard_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": SQL_URL, "op7_decontaminate": SQL_LEAKS, "op9_chat_collapse": SQL_CHAT}
+    return {"op2_url_filter": SQL_URL, "op7_decontaminate": SQL_LEAKS, "op9_chat_collapse": SQL_CHAT, "op10_jaccard_tree": SQL_JACCARD}
+
