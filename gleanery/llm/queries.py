@@ -100,6 +100,25 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 10 of all documents for the whole text of every document whose id is divisible by 50."""
+    from gleanery.llm.bm25_wand import search
+
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+
+
+SQL_BM25 = r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM documents),
+l AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), tf AS (SELECT doc_id, t, count(*) AS f FROM w GROUP BY ALL),
+df AS (SELECT t, count(*) AS d FROM tf GROUP BY t), c AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM w) / (SELECT count(*) FROM documents) AS mean),
+s AS (SELECT q.doc_id AS query_id, b.doc_id, round(sum(ln(1 + (c.n - d + 0.5) / (d + 0.5)) * b.f * 2.2 / (b.f + 1.2 * (0.25 + 0.75 * l.n / c.mean))), 6) AS score
+  FROM tf q JOIN tf b USING (t) JOIN df USING (t) JOIN l ON l.doc_id = b.doc_id, c WHERE q.doc_id % 50 = 0 GROUP BY ALL),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every whole text; the digests are derived from the operator's ids and texts."""
     from gleanery.llm.piece_codec import digest_table
@@ -147,9 +166,9 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.c AS component_id FRO
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_token_store, op4_quality, op6_sentencepiece, op7_decontaminate, op8_toxicity, op9_chat_collapse, op10_jaccard_tree)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_token_store, op4_quality, op5_bm25_wand, op6_sentencepiece, op7_decontaminate, op8_toxicity, op9_chat_collapse, op10_jaccard_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": SQL_URL, "op7_decontaminate": SQL_LEAKS, "op9_chat_collapse": SQL_CHAT, "op10_jaccard_tree": SQL_JACCARD}
+    return {"op2_url_filter": SQL_URL, "op5_bm25_wand": SQL_BM25, "op7_decontaminate": SQL_LEAKS, "op9_chat_collapse": SQL_CHAT, "op10_jaccard_tree": SQL_JACCARD}
 
