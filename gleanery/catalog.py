@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from gleanery.plans import store_queries
+
+PARTS = [store_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count("*").alias("n"))
+    return store_queries.bm25_search(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for p in PARTS for k, f in p.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for p in PARTS for k, s in p.SQL.items()}
