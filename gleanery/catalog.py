@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.plans import store_queries
+from gleanery.plans import knowledge_queries, store_queries
 
-PARTS = [store_queries]
+PARTS = [store_queries, knowledge_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
