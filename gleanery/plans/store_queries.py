@@ -249,7 +249,8 @@ def hybrid_search(spark, sf):
     cand = search.rrf(l, search.fusion_weights(l)).orderBy(F.desc("rrf"), "file").limit(40)
     d = documents(spark, sf)
     rerank = d.join(F.broadcast(cand.select(F.col("file").alias("doc_id"))), "doc_id").select(F.col("doc_id").alias("file"), (search.overlap_score(F.col("doc"), ["the", "thou"]) / 2).alias("rerank_score"))
-    return search.top(search.blend(cand.join(rerank.select("file"), "file", "left_semi"), rerank).select("file", F.round("score", 6).alias("score")), 10, key="file")
+    blended = search.blend(cand, rerank).join(rerank.select("file"), "file", "left_semi")
+    return search.top(blended.select("file", F.round("score", 6).alias("score")), 10, key="file")
 
 
 @query("vector_multi_query", f"SELECT vec_id, max(score) AS score FROM (SELECT vec_id, round(1 - {COS}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id IN (0, 1, 2)) q) GROUP BY vec_id HAVING max(score) >= 0.3")
