@@ -140,13 +140,24 @@ def train(column: pa.Array, y: np.ndarray, width: int = 8, dim: int = 8, buckets
     prior = float(np.log(p / (1 - p)))
     if not len(y) or y.min() == y.max():
         return Subwords(np.zeros(buckets, np.float32), prior, width)
-    buf, offs = texts(column)
-    buf = lower(buf)
-    starts, ends, doc = words(buf, offs)
-    u, first, back = np.unique(segment_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-    g, c = grams(buf, starts[first], ends[first], buckets)
+    hashes, counts, known, g, c = [], [], np.zeros(0, np.uint64), [], []
+    for i, j, buf, offs in pieces(*texts(column)):  # a piece at a time, so that memory is small
+        buf = lower(buf)
+        starts, ends, doc = words(buf, offs)
+        h = segment_hashes(buf, starts, ends)
+        hashes.append(h)
+        counts.append(np.bincount(doc, minlength=j - i))
+        u, first = np.unique(h, return_index=True)
+        new = ~np.isin(u, known, assume_unique=True)
+        known = np.append(known, u[new])  # in the order in which words are first met
+        part = grams(buf, starts[first[new]], ends[first[new]], buckets)
+        g.append(part[0])
+        c.append(part[1])
+    hashes, counts, g, c = (np.concatenate(x) for x in (hashes, counts, g, c))
+    order = np.argsort(known)
+    back = order[np.searchsorted(known[order], hashes)].astype(np.int32)
+    del hashes
     gat = np.append(0, np.cumsum(c))
-    counts = np.bincount(doc, minlength=len(y))
     s, e, d = window_starts(counts, width)
     wat = np.searchsorted(d, np.arange(len(y) + 1))
     rng = np.random.default_rng(seed)
@@ -204,7 +215,7 @@ def train(column: pa.Array, y: np.ndarray, width: int = 8, dim: int = 8, buckets
     return Subwords((emb @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0]), width)
 
 
-def fit(docs: DataFrame, labels: DataFrame, where, rows: int = 12_000, chars: int = 60_000) -> Subwords:
+def fit(docs: DataFrame, labels: DataFrame, where, rows: int = 10_000, chars: int = 20_000) -> Subwords:
     """Learned on the driver from at most `rows` labelled documents of at most `chars` characters each (both bound the
     sample; longer ones are no training rows, but are scored whole)."""
     tune(docs.sparkSession)
