@@ -101,7 +101,7 @@ def cut_points(ids: np.ndarray, n: np.ndarray) -> list[list[int]]:
     gear = kept("gear", lambda: np.random.default_rng(5).integers(0, 1 << 63, 1 << 16, np.uint64))
     g = gear[ids & np.uint32(0xFFFF)]
     h = np.zeros(len(ids), np.uint64)
-    for k in range(WINDOW):
+    for k in range(min(WINDOW, len(ids))):
         h[k:] += g[: len(g) - k] << np.uint64(2 * k)
     marks = np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
     out, base = [], 0
