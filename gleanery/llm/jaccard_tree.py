@@ -2,7 +2,8 @@
 
 1. Equal sets are one set from then on (its id: a 64-bit hash of the set).
 2. Filter. A set's smaller half in hash order (its prefix) must share at least a fixed number of shingles with a
-   partner's prefix. Sets without so many prefix shingles that any other prefix has too have no partner.
+   partner's prefix. Sets without so many prefix shingles that any other prefix has too have no partner. Of the sets
+   that are left, those also go of which less than three quarters of all shingles are in others that are left.
 3. The sets that are left meet in buckets of equal shingles. In a bucket, a signature tree is built: nodes hold the
    OR of their sets' bitmaps and the range of their sizes. A dual traversal drops pairs of nodes that are of one
    component already, or whose largest possible overlap is too small; pairs of leaves are verified.
@@ -18,6 +19,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import checked, pieces, texts, tune, written
@@ -27,6 +29,8 @@ from gleanery.llm.segments import mix, ragged, segment_hashes
 WORDS = 5
 #: Sets of a bucket that one task takes at a time, and members of a group that stand for it when parts of a bucket meet.
 BLOCK, DELEGATES = 4096, 16
+#: Pairs of two components that are verified before all others.
+PROBES = 4
 BITS, FAN = 4096, 16
 
 
@@ -200,40 +204,62 @@ def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], ["a", "b"])
 
 
+def _blobs(own: list[int], toks: list[np.ndarray], bands: int):
+    """A batch's shingles by band: for each band the shingles, the sets they are of, and how many of each."""
+    if not own:
+        return
+    tok = np.concatenate(toks)
+    who = np.repeat(np.arange(len(own)), [len(t) for t in toks])
+    key = (mix(tok) % np.uint64(bands)).astype(np.int64) * len(own) + who
+    order = np.argsort(key, kind="stable")
+    tok, key = tok[order], key[order]
+    u, first, count = np.unique(key, return_index=True, return_counts=True)
+    band, sid = u // len(own), np.array(own)[u % len(own)]
+    edge = np.append(np.flatnonzero(np.append(True, band[1:] != band[:-1])), len(band))
+    rows = []
+    for s, e in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+        f = first[s]
+        rows.append((int(band[s]), tok[f : f + int(count[s:e].sum())].tobytes(), sid[s:e].tobytes(), count[s:e].astype("<u4").tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["band", "tok", "sid", "count"])
+
+
 def shared_prefixes(docs: DataFrame) -> DataFrame:
-    """sid, shared (count of prefix shingles that another set's prefix has too), tokens (these, packed)."""
-    spark = docs.sparkSession
-    bands = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """sid, shared: count of prefix shingles that another set's prefix has too."""
+    bands = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(batches):
         seen: set[int] = set()
         for b in batches:
-            own, at, toks = [], [], []
+            own, toks = [], []
             for s in shingle_sets(b.column(0)):
                 if len(s) and (sid := set_id(s)) not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(sid)
-                    p = s[: prefix(len(s))]
                     own.append(sid)
-                    at.append(len(p))
-                    toks.append(p)
-            if not own:
-                continue
-            tok = np.concatenate(toks)
-            who = np.repeat(np.arange(len(own)), at)
-            band = (mix(tok) % np.uint64(bands)).astype(np.int64)
-            key = band * len(own) + who
-            order = np.argsort(key, kind="stable")
-            tok, key = tok[order], key[order]
-            u, first, count = np.unique(key, return_index=True, return_counts=True)
-            ub, sid = u // len(own), np.array(own)[u % len(own)]
-            edge = np.append(np.flatnonzero(np.append(True, ub[1:] != ub[:-1])), len(ub))
-            rows = []
-            for s, e in zip(edge.tolist(), edge[1:].tolist(), strict=False):
-                f = first[s]
-                rows.append((int(ub[s]), tok[f : f + int(count[s:e].sum())].tobytes(), sid[s:e].tobytes(), count[s:e].astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["band", "tok", "sid", "count"])
+                    toks.append(s[: prefix(len(s))])
+            yield from _blobs(own, toks, bands)
+
+    return _meet(docs.select("text").mapInArrow(emit, BLOBS), bands).groupBy("sid").agg(F.sum("shared").alias("shared"))
+
+
+def shared_wholly(sets: DataFrame) -> DataFrame:
+    """sid, shared (count of a set's shingles that another of these sets has too), lists (these and in how many sets each
+    is, packed). sets: sid, items."""
+    bands = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def emit(batches):
+        for b in batches:
+            yield from _blobs(b.column(0).to_pylist(), _sets(b.column(1)), bands)
+
+    return _meet(sets.select("sid", "items").mapInArrow(emit, BLOBS), bands).groupBy("sid").agg(F.sum("shared").alias("shared"), F.collect_list(F.struct("tokens", "dfs")).alias("lists"))
+
+
+BLOBS = "band int, tok binary, sid binary, count binary"
+
+
+def _meet(blobs: DataFrame, bands: int) -> DataFrame:
+    """sid, shared, tokens, dfs (in how many sets each is) of the shingles of each band that several sets have."""
 
     def meet(batches):
         parts: dict[int, list] = {}
@@ -246,23 +272,22 @@ def shared_prefixes(docs: DataFrame) -> DataFrame:
             tok, sid = tok[order], sid[order]
             first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
             low, high = np.minimum.reduceat(sid, first), np.maximum.reduceat(sid, first)
-            keep = np.repeat(low != high, np.diff(np.append(first, len(tok))))
-            tok, sid = tok[keep], sid[keep]
+            size = np.diff(np.append(first, len(tok)))
+            keep, df = np.repeat(low != high, size), np.repeat(size, size)
+            tok, sid, df = tok[keep], sid[keep], df[keep]
             if not len(tok):
                 continue
             order = np.lexsort((tok, sid))
-            tok, sid = tok[order], sid[order]
+            tok, sid, df = tok[order], sid[order], df[order]
             new = np.append(True, (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1]))
-            tok, sid = tok[new], sid[new]
+            tok, sid, df = tok[new], sid[new], df[new].astype("<u4")
             at = np.append(np.flatnonzero(np.append(True, sid[1:] != sid[:-1])), len(sid))
             for k in range(0, len(at) - 1, 20_000):
                 s = at[k : k + 20_001]
-                raw = [tok[x:y].tobytes() for x, y in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(sid[s[:-1]]), pa.array(np.diff(s), pa.int64()), pa.array(raw, pa.binary())], ["sid", "shared", "tokens"])
+                raw, dfs = ([a[x:y].tobytes() for x, y in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)] for a in (tok, df))
+                yield pa.RecordBatch.from_arrays([pa.array(sid[s[:-1]]), pa.array(np.diff(s), pa.int64()), pa.array(raw, pa.binary()), pa.array(dfs, pa.binary())], ["sid", "shared", "tokens", "dfs"])
 
-    blobs = docs.select("text").mapInArrow(emit, "band int, tok binary, sid binary, count binary")
-    met = blobs.repartitionById(bands, F.col("band")).mapInArrow(meet, "sid long, shared long, tokens binary")
-    return met.groupBy("sid").agg(F.sum("shared").alias("shared"), F.collect_list("tokens").alias("tokens"))
+    return blobs.repartitionById(bands, F.col("band")).mapInArrow(meet, "sid long, shared long, tokens binary, dfs binary")
 
 
 def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -270,7 +295,7 @@ def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     sets_of = sizes.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     near = shared_prefixes(docs).join(sets_of, "sid")
     need = F.ceil(F.ceil(F.col("n") * 3 / 4) / 4)  # of the smallest partner
-    near = written(near.where(F.col("shared") >= need).select("sid", "n", "doc_id", "tokens"), "near-sets")
+    near = written(near.where(F.col("shared") >= need).select("sid", "n", "doc_id"), "near-sets")
     homes = checked(written(near.select("doc_id").distinct(), "near-docs"))
 
     def whole(batches):
@@ -281,18 +306,24 @@ def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     full = docs.join(homes, "doc_id", "left_semi").select("text").mapInArrow(whole, "sid long, items binary").groupBy("sid").agg(F.first("items").alias("items"))
 
     def facts(batches):
-        """sid, items, bits, first (the shared shingles that a partner's prefix must hit, smallest first)."""
+        """sid, n, items, bits, early (the two smallest shared shingles, in which most groups meet), first (the shared ones
+        of the prefix when shingles stand in the order of their frequency, so that common passages come last)."""
         for b in batches:
             out = []
-            for sid, n, tokens, items in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for sid, n, lists, items in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = np.frombuffer(items, np.uint64)
-                t = np.sort(np.frombuffer(b"".join(tokens), np.uint64))
-                t = t[t <= s[n - three_quarters(n)]]
-                out.append((sid, n, items, bitmap(s).tobytes(), t.view(np.int64).tolist()))
+                t = np.concatenate([np.frombuffer(x["tokens"], np.uint64) for x in lists])
+                df = np.concatenate([np.frombuffer(x["dfs"], "<u4") for x in lists])
+                take = max(0, n - three_quarters(n) + 1 - (n - len(t)))  # shingles that no other set has come first
+                first = t[np.lexsort((t, df))[:take]]
+                out.append((sid, n, items, bitmap(s).tobytes(), np.sort(t)[:2].view(np.int64).tolist(), first.view(np.int64).tolist()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["sid", "n", "items", "bits", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], ["sid", "n", "items", "bits", "early", "first"])
 
-    known = written(near.select("sid", "n", "tokens").join(full, "sid").mapInArrow(facts, "sid long, n long, items binary, bits binary, first array<long>"), "set-facts")
+    full = written(full, "near-items")
+    # a partner holds three quarters of the set's shingles, so that many are in some other of the sets that are left
+    near = near.select("sid", "n").join(shared_wholly(full), "sid").where("4 * shared >= 3 * n")
+    known = written(near.select("sid", "n", "lists").join(full, "sid").mapInArrow(facts, "sid long, n long, items binary, bits binary, early array<long>, first array<long>"), "set-facts")
 
     def verified(rows: DataFrame) -> DataFrame:
         """Edges within each (key, part) of rows (key, part, sid, items)."""
@@ -303,7 +334,7 @@ def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
 
         return rows.select("key", "part", "sid", "items").repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long")
 
-    keyed = known.select(F.explode(F.slice("first", 1, 2)).alias("key"), "sid")
+    keyed = known.select(F.explode("early").alias("key"), "sid")
     counts = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     keyed = written(keyed.join(counts, "key").select("key", "sid", F.pmod(F.xxhash64("sid"), F.ceil(F.col("c") / BLOCK)).cast("int").alias("part"), (F.col("c") > BLOCK).alias("split")), "set-buckets")
     edges = written(verified(keyed.join(known.select("sid", "items"), "sid")), "links")
@@ -329,20 +360,32 @@ def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
             order = np.lexsort((sid, n))
             sid, n = sid[order], n[order]
             bits = np.stack([np.frombuffer(x, np.uint64) for x in t.column(6).take(pa.array(order)).to_pylist()])
-            got = [(int(min(sid[a], sid[b])), int(max(sid[a], sid[b]))) for a, b in SignatureTree(n, bits).pairs(Groups(t.column(4).to_numpy()[order]))]
-            yield _edges(sorted(set(got)))
+            root = t.column(4).to_numpy()[order]
+            got = [(sid[a], sid[b], root[a], root[b]) if sid[a] < sid[b] else (sid[b], sid[a], root[b], root[a]) for a, b in SignatureTree(n, bits).pairs(Groups(root))]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*got, strict=True)], ["a", "b", "p", "q"])
 
-    pairs = rows.select("key", "x", "y", "sid", "root", "n", "bits").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(candidates, "a long, b long").distinct()
+    pairs = rows.select("key", "x", "y", "sid", "root", "n", "bits").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(candidates, "a long, b long, p long, q long")
+    pairs = written(pairs.distinct(), "pairs")
 
     def confirm(batches):
         for b in batches:
             ok = [similar(p, q) for p, q in zip(_sets(b.column(2)), _sets(b.column(3)), strict=True)]
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    left = known.select(F.col("sid").alias("a"), F.col("items").alias("p"))
-    right = known.select(F.col("sid").alias("b"), F.col("items").alias("q"))
-    more = pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(confirm, "a long, b long")
-    return edges.union(more)
+    def confirmed(some: DataFrame) -> DataFrame:
+        left, right = (known.select(F.col("sid").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
+        return some.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items").mapInArrow(confirm, "a long, b long")
+
+    # a few pairs of each two components tell most that belong together; then only pairs that still cross are verified
+    w = W.partitionBy(F.least("p", "q"), F.greatest("p", "q")).orderBy(F.xxhash64("a", "b"))
+    few = written(confirmed(pairs.withColumn("_r", F.row_number().over(w)).where(f"_r <= {PROBES}")), "links")
+    label = checked(components(few.join(pairs, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b"))))
+    new = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c))
+    for c in "pq":
+        pairs = pairs.join(label.select(F.col("node").alias(f"_n{c}"), F.col("root").alias(f"_{c}")), F.col(c) == F.col(f"_n{c}"), "left")
+    rest = pairs.where(new("p") != new("q"))
+    return edges.union(few).union(confirmed(rest))
 
 
 def join(docs: DataFrame) -> DataFrame:
