@@ -1,4 +1,4 @@
-"""All queries over the reference tables, with the SQL that checks them."""
+"""All queries over the test tables, with the SQL that checks them."""
 
 from __future__ import annotations
 

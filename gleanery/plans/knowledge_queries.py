@@ -247,13 +247,12 @@ def provenance_dedup(spark, sf):
 NEAR = 0.45
 
 
-@query("similarity_edges", f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 500 AND b.vec_id < 500 AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {NEAR}")
+@query("similarity_edges", f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {NEAR}")
 def similarity_edges(spark, sf):
-    """The names of the smallest tables, 500 vectors, whatever the scale: a name table does not grow with the corpus."""
-    return K.similarity_edges(table(spark, sf, "embeddings").where("vec_id < 500"), NEAR).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return K.similarity_edges(table(spark, sf, "embeddings"), NEAR).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-PAIRS = f"WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 500 AND b.vec_id < 500 AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {NEAR}), g AS (SELECT a, b FROM p UNION SELECT b, a FROM p), t AS (SELECT a AS node, a AS c FROM g UNION SELECT g.b, t.c FROM t JOIN g ON g.a = t.node), k AS (SELECT node, min(c) AS cluster FROM t GROUP BY node)"
+PAIRS = f"WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {NEAR}), g AS (SELECT a, b FROM p UNION SELECT b, a FROM p), t AS (SELECT a AS node, a AS c FROM g UNION SELECT g.b, t.c FROM t JOIN g ON g.a = t.node), k AS (SELECT node, min(c) AS cluster FROM t GROUP BY node)"
 
 
 def clusters(spark, sf) -> DataFrame:
@@ -264,7 +263,7 @@ def clusters(spark, sf) -> DataFrame:
         sc.setCheckpointDir(tempfile.mkdtemp())  # tests only: clusters name a shared folder
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return K.min_labels(K.similarity_edges(table(spark, sf, "embeddings").where("vec_id < 500"), NEAR))
+    return K.min_labels(K.similarity_edges(table(spark, sf, "embeddings"), NEAR))
 
 
 @query("convergence_clusters", PAIRS + " SELECT node, cluster FROM k")
