@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gleanery.llm.common import pieces, texts, tune
-from gleanery.llm.segments import DIGIT, LETTER, NEWLINE, OTHER, PUNCT, SPACE, classes, segment_hashes
+from gleanery.llm.segments import DIGIT, NEWLINE, OTHER, PUNCT, SPACE, classes, segment_hashes
 
 #: Names of the statistics. None of them is a label, a language, a source or an id.
 FEATURES = "log_bytes upper digit mark prose_mark other non_ascii space line_len word_len distinct_words repeated_next top_gap bar bang distinct_lines".split()
