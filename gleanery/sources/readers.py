@@ -34,7 +34,7 @@ def settings(spark: SparkSession, path: str) -> DataFrame:
 
 def cost_log(spark: SparkSession, path: str) -> DataFrame:
     """date, provider, task, description, tokens_in, tokens_out of '## [date] provider | task | description' blocks."""
-    b = spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", r"\n(?=## \[)")).alias("b"))
+    b = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=## \[)")).alias("b"))
     g = lambda p, k=1: F.regexp_extract("b", p, k)
     head = r"## \[([^\]]+)\]\s*([^|\n]+?)\s*\|\s*([^|\n]+?)\s*\|\s*([^\n]+)"
     n = lambda name: F.coalesce(F.nullif(F.regexp_replace(g(name + r"[^0-9\n]*([0-9,]+)"), ",", ""), F.lit("")).cast("long"), F.lit(0).cast("long"))
@@ -43,7 +43,7 @@ def cost_log(spark: SparkSession, path: str) -> DataFrame:
 
 def json_store(spark: SparkSession, path: str, ddl: str, version: int | None = None) -> DataFrame:
     """Records of a JSON store: rows that do not parse, or have another version, are left out instead of failing."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     rows = raw.select(F.from_json("value", f"version INT, items ARRAY<STRUCT<{ddl}>>").alias("s"))
     rows = rows.where("s.items IS NOT NULL")
     if version is not None:
