@@ -86,6 +86,45 @@ def test_exact_lines_against_brute_force(spark):
     assert len(np.unique(hashes)) == len(hashes) and len(hashes) <= len(np.unique(all_))
 
 
+def test_similar_lines_against_brute_force(spark):
+    """Copies of real lines with words replaced, inserted and left out, up to the limit of similarity, all go, and so
+    does every line of a small table that brute force links to another."""
+    from gleanery.llm.line_dedup import dedup, edit_similar, fold, line_groups, line_table
+
+    rng = np.random.default_rng(6)
+    base = [x for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect() for x in (r.text or "").split("\n") if 60 < len(x) < 700][:120]
+    pool = [w for x in base for w in x.split()]
+    rows = []
+    for i, x in enumerate(base):
+        w = x.split(" ")
+        for k in rng.permutation(len(w)).tolist():
+            trial = list(w)
+            trial[k] = ("", str(rng.choice(pool)), f"{w[k]} {rng.choice(pool)}")[int(rng.integers(3))]
+            if not edit_similar(fold(np.frombuffer(x.encode(), np.uint8)).tobytes().decode(), fold(np.frombuffer(" ".join(trial).encode(), np.uint8)).tobytes().decode(), 0.86):
+                break
+            w = trial
+        rows += [(2 * i, x), (2 * i + 1, " ".join(w))]
+    got = {r.doc_id: r.n_removed for r in dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in range(1, 2 * len(base), 2) if got[i] != 1] == []
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {}
+    for _, _, h, _, _, (buf, s, e), *_ in line_table(pa.array([r.text or "" for r in docs.collect()])):
+        raw = fold(buf).tobytes()
+        text |= {x: raw[a:b].decode() for x, a, b in zip(h.tolist(), s.tolist(), e.tolist(), strict=True) if b - a < 400}
+    ids = sorted(text, key=lambda x: len(text[x]))
+    count = np.array([np.bincount(np.frombuffer(text[x].encode(), np.uint8), minlength=256) for x in ids], np.int32)
+    size = np.array([len(text[x]) for x in ids])
+    keep = {r.h: r.keep for r in line_groups(docs)[1].collect()}
+    for k in range(1, len(ids)):
+        low = int(np.searchsorted(size, 0.84 * size[k]))
+        d = count[low:k] - count[k]
+        allowed = 4 * (0.15 * size[k] + 1e-9)  # a character has four bytes at most
+        for j in (low + np.flatnonzero(np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1)) <= allowed)).tolist() if low < k else []:
+            if edit_similar(text[ids[j]], text[ids[k]]):
+                assert keep[ids[j]] == keep[ids[k]] is not None
+
+
 # 2 url filter
 
 
