@@ -252,6 +252,16 @@ def test_search_odd(spark, odd, empty):
     assert search(empty, empty.select(F.col("doc_id").alias("query_id"), "text")).count() == 0
 
 
+def test_search_large_counts_and_small_scores():
+    from gleanery.llm.bm25_wand import Shard
+
+    tf, lens = np.array([70_000, 1], "<u4"), np.array([80_000, 80_000], "<u4")
+    row = {"ids": np.array([1, 2]).tobytes(), "lens": lens.tobytes(), "terms": np.array([9], np.uint64).tobytes(), "at": np.array([0, 2], "<u4").tobytes(), "docs": np.array([0, 1], "<u2").tobytes(), "tfs": tf.tobytes()}
+    for idf in (1e4, 1e-9):
+        ids, scores = Shard(row, np.array([9], np.uint64), np.array([idf]), 80_000.0).top(np.array([0]), 2, (np.zeros(0, np.int64), np.zeros(0)))
+        assert ids.tolist() == [1, 2] and np.allclose(scores, np.round(idf * tf * 2.2 / (tf + 1.2), 6), rtol=0, atol=1e-6)
+
+
 # 6 sentencepiece
 
 
