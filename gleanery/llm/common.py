@@ -11,10 +11,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Rows of an Arrow batch that is sent to Python; texts average a few kB, so a batch stays at a few MB.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch, whatever the number of its rows.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,17 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds Arrow batches by rows; texts of any length then need a few MB of memory at a time."""
+    """Bounds Arrow batches by rows and bytes; texts of any length then need a few MB of memory at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one is only made where
-    that setting is absent (tests)."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Without that setting there is no place
+    that all of them see, so it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        base = "file://" + kept("single-process-folder", lambda: tempfile.mkdtemp(prefix="gleanery-"))  # one process is the whole cluster
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="gleanery-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that all executors share")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -40,7 +44,17 @@ def written(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Cuts lineage: df as a Parquet table in the shared folder. It outlives lost executors."""
     path = shared_dir(df.sparkSession, tag)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of written tables, once what was made of them is written itself."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def kept(key: object, make):
@@ -74,12 +88,23 @@ def pieces(buf: np.ndarray, offs: np.ndarray, most: int = 1 << 21) -> Iterator[t
         i = j
 
 
-#: Most ids of 8 bytes that are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Bytes of a broadcast side's values; beyond that, a shuffle join.
+BROADCAST_BYTES = 8 << 20
+
+
+def _width(name: str, kind) -> Column:
+    """Bytes of a column's value; nested values by their elements."""
+    from pyspark.sql import functions as F
+
+    c, kind = F.col(f"`{name}`"), kind.simpleString()
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    return F.coalesce(F.size(c), F.lit(0)) * 16 + 16 if kind.startswith(("array", "map")) else F.lit(32 if kind.startswith("struct") else 8)
 
 
-def checked(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """ids, a written table of few narrow columns, with a broadcast hint if it has at most `most` rows."""
+def checked(side: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """side, a written table, with a broadcast hint if its values take at most `most` bytes."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+    total = side.agg(F.sum(sum((_width(f.name, f.dataType) for f in side.schema), F.lit(8)).cast("long"))).first()[0]
+    return F.broadcast(side) if (total or 0) <= most else side
