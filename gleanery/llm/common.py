@@ -89,7 +89,7 @@ def pieces(buf: np.ndarray, offs: np.ndarray, most: int = 1 << 21) -> Iterator[t
 
 
 #: Bytes of a broadcast side's values; beyond that, a shuffle join.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def _width(name: str, kind) -> Column:
