@@ -240,26 +240,28 @@ def shared_prefixes(docs: DataFrame) -> DataFrame:
                     toks.append(s[: prefix(len(s))])
             yield from _blobs(own, toks, bands)
 
-    return _meet(docs.select("text").mapInArrow(emit, BLOBS), bands).groupBy("sid").agg(F.sum("shared").alias("shared"))
+    return _meet(docs.select("text").mapInArrow(emit, BLOBS), bands, False)
 
 
 def shared_wholly(sets: DataFrame) -> DataFrame:
-    """sid, shared (count of a set's shingles that another of these sets has too), lists (these and in how many sets each
-    is, packed). sets: sid, items."""
+    """sid, shared (count of a set's shingles that another of these sets has too), tokens, dfs (these and in how many sets
+    each is, packed). sets: sid, items."""
     bands = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(batches):
         for b in batches:
             yield from _blobs(b.column(0).to_pylist(), _sets(b.column(1)), bands)
 
-    return _meet(sets.select("sid", "items").mapInArrow(emit, BLOBS), bands).groupBy("sid").agg(F.sum("shared").alias("shared"), F.collect_list(F.struct("tokens", "dfs")).alias("lists"))
+    return _meet(sets.select("sid", "items").mapInArrow(emit, BLOBS), bands, True)
 
 
 BLOBS = "band int, tok binary, sid binary, count binary"
 
 
-def _meet(blobs: DataFrame, bands: int) -> DataFrame:
-    """sid, shared, tokens, dfs (in how many sets each is) of the shingles of each band that several sets have."""
+def _meet(blobs: DataFrame, bands: int, lists: bool) -> DataFrame:
+    """sid, shared and, if asked for, tokens, dfs (in how many sets each is) of the shingles that several sets have: one row
+    for each set that has such shingles. Shingles meet in bands; what a band has of the sets goes back, packed, to bands
+    of sets, so the rows do not depend on how many bands there are."""
 
     def meet(batches):
         parts: dict[int, list] = {}
@@ -274,20 +276,44 @@ def _meet(blobs: DataFrame, bands: int) -> DataFrame:
             low, high = np.minimum.reduceat(sid, first), np.maximum.reduceat(sid, first)
             size = np.diff(np.append(first, len(tok)))
             keep, df = np.repeat(low != high, size), np.repeat(size, size)
-            tok, sid, df = tok[keep], sid[keep], df[keep]
+            tok, sid, df = tok[keep], sid[keep], df[keep].astype("<u4")
             if not len(tok):
                 continue
             order = np.lexsort((tok, sid))
             tok, sid, df = tok[order], sid[order], df[order]
             new = np.append(True, (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1]))
-            tok, sid, df = tok[new], sid[new], df[new].astype("<u4")
-            at = np.append(np.flatnonzero(np.append(True, sid[1:] != sid[:-1])), len(sid))
-            for k in range(0, len(at) - 1, 20_000):
-                s = at[k : k + 20_001]
-                raw, dfs = ([a[x:y].tobytes() for x, y in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)] for a in (tok, df))
+            tok, sid, df = tok[new], sid[new], df[new]
+            if not lists:  # a set and a count stand for its shingles
+                first = np.flatnonzero(np.append(True, sid[1:] != sid[:-1]))
+                tok, df, sid = np.zeros(len(first), np.uint64), np.diff(np.append(first, len(sid))).astype("<u4"), sid[first]
+            to = (mix(sid.view(np.uint64)) % np.uint64(bands)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            tok, sid, df, to = tok[order], sid[order], df[order], to[order]
+            at = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to)).tolist()
+            for s, e in zip(at, at[1:], strict=False):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((int(to[s]), tok[s:e].tobytes() if lists else b"", sid[s:e].tobytes(), df[s:e].tobytes()), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["band", "tok", "sid", "count"])
+
+    def gather(batches):
+        parts: dict[int, list] = {}
+        for b in batches:
+            for band, tok, sid, df in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                parts.setdefault(band, []).append((np.frombuffer(tok, np.uint64), np.frombuffer(sid, np.int64), np.frombuffer(df, "<u4")))
+        for band in list(parts):
+            tok, sid, df = (np.concatenate(x) for x in zip(*parts.pop(band), strict=True))
+            order = np.argsort(sid, kind="stable")
+            sid, df = sid[order], df[order]
+            first = np.flatnonzero(np.append(True, sid[1:] != sid[:-1]))
+            if not lists:
+                yield pa.RecordBatch.from_arrays([pa.array(sid[first]), pa.array(np.add.reduceat(df.astype(np.int64), first))], ["sid", "shared"])
+                continue
+            tok, at = tok[order], np.append(first, len(sid))
+            for k in range(0, len(first), 5_000):
+                s = at[k : k + 5_001]
+                raw, dfs = ([c[x:y].tobytes() for x, y in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)] for c in (tok, df))
                 yield pa.RecordBatch.from_arrays([pa.array(sid[s[:-1]]), pa.array(np.diff(s), pa.int64()), pa.array(raw, pa.binary()), pa.array(dfs, pa.binary())], ["sid", "shared", "tokens", "dfs"])
 
-    return blobs.repartitionById(bands, F.col("band")).mapInArrow(meet, "sid long, shared long, tokens binary, dfs binary")
+    met = blobs.repartitionById(bands, F.col("band")).mapInArrow(meet, BLOBS)
+    return met.repartitionById(bands, F.col("band")).mapInArrow(gather, "sid long, shared long" + ", tokens binary, dfs binary" * lists)
 
 
 def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -310,10 +336,8 @@ def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
         of the prefix when shingles stand in the order of their frequency, so that common passages come last)."""
         for b in batches:
             out = []
-            for sid, n, lists, items in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = np.frombuffer(items, np.uint64)
-                t = np.concatenate([np.frombuffer(x["tokens"], np.uint64) for x in lists])
-                df = np.concatenate([np.frombuffer(x["dfs"], "<u4") for x in lists])
+            for sid, n, tokens, dfs, items in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s, t, df = np.frombuffer(items, np.uint64), np.frombuffer(tokens, np.uint64), np.frombuffer(dfs, "<u4")
                 take = max(0, n - three_quarters(n) + 1 - (n - len(t)))  # shingles that no other set has come first
                 first = t[np.lexsort((t, df))[:take]]
                 out.append((sid, n, items, bitmap(s).tobytes(), np.sort(t)[:2].view(np.int64).tolist(), first.view(np.int64).tolist()))
@@ -323,7 +347,7 @@ def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     full = written(full, "near-items")
     # a partner holds three quarters of the set's shingles, so that many are in some other of the sets that are left
     near = near.select("sid", "n").join(shared_wholly(full), "sid").where("4 * shared >= 3 * n")
-    known = written(near.select("sid", "n", "lists").join(full, "sid").mapInArrow(facts, "sid long, n long, items binary, bits binary, early array<long>, first array<long>"), "set-facts")
+    known = written(near.select("sid", "n", "tokens", "dfs").join(full, "sid").mapInArrow(facts, "sid long, n long, items binary, bits binary, early array<long>, first array<long>"), "set-facts")
 
     def verified(rows: DataFrame) -> DataFrame:
         """Edges within each (key, part) of rows (key, part, sid, items)."""
@@ -380,7 +404,7 @@ def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     # a few pairs of each two components tell most that belong together; then only pairs that still cross are verified
     w = W.partitionBy(F.least("p", "q"), F.greatest("p", "q")).orderBy(F.xxhash64("a", "b"))
     few = written(confirmed(pairs.withColumn("_r", F.row_number().over(w)).where(f"_r <= {PROBES}")), "links")
-    label = checked(components(few.join(pairs, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b"))))
+    label = components(few.join(pairs, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b")))
     new = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c))
     for c in "pq":
         pairs = pairs.join(label.select(F.col("node").alias(f"_n{c}"), F.col("root").alias(f"_{c}")), F.col(c) == F.col(f"_n{c}"), "left")

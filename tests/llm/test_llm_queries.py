@@ -431,3 +431,26 @@ def test_families(spark, odd, empty, block, monkeypatch):
     want = components(sets)
     assert got == {i: (len(s), want[i]) for i, s in sets.items()}
     assert J.join(odd).count() == len(ODD) and J.join(empty).count() == 0
+
+
+@pytest.mark.parametrize("bands", [2, 211])
+def test_met_rows_do_not_depend_on_partitions(spark, bands):
+    """One row for each set that shares shingles, as many with few as with many partitions, and the right counts."""
+    from gleanery.llm import jaccard_tree as J
+
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect()]
+    texts += [" ".join(f"hot{k}" for k in range(30)) + f" own{i} x{i} y{i} z{i} u{i}" for i in range(40)]
+    sets = {J.set_id(s): s for s in J.shingle_sets(pa.array(texts)) if len(s)}
+    data = spark.createDataFrame([(i, s.tobytes()) for i, s in sets.items()], "sid long, items binary")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(bands))
+    try:
+        got = {r.sid: (r.shared, np.frombuffer(r.tokens, np.uint64), np.frombuffer(r.dfs, "<u4")) for r in J.shared_wholly(data).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    token, count = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    several = dict(zip(token[count > 1].tolist(), count[count > 1].tolist(), strict=True))
+    want = {i: {t for t in s.tolist() if t in several} for i, s in sets.items()}
+    assert set(got) == {i for i, s in want.items() if s}
+    for i, (n, tokens, dfs) in got.items():
+        assert n == len(want[i]) and set(tokens.tolist()) == want[i] and all(several[t] == d for t, d in zip(tokens.tolist(), dfs.tolist(), strict=True))
