@@ -68,12 +68,11 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES, ma
     malformed URLs have empty host and path, are never listed, and are allowed. Repeated rows stay, every one is
     judged. Null or empty entries of the list are ignored, an empty list blocks nothing. Other columns stay.
     """
-    mine = ["_host", "_path", "_canon", "_hit", "_salt"]
-    taken = [c for c in pages.columns if c in {"host", "path", "listed", "rule", "verdict"}]
-    pages = pages.withColumnsRenamed({c: f"{c}_input" for c in taken})  # clashing names of the input are kept apart
-    key = listed.columns[0]
-    listed = listed.select(F.col(key).alias("_key")).where(F.col("_key") != "").distinct()
-    p = with_parts(pages, url)
+    taken = {"host", "path", "listed", "rule", "verdict"}  # of the input, these are kept under another name
+    row = [F.col(f"_row.`{c}`").alias(f"{c}_input" if c in taken else c) for c in pages.columns]
+    listed = listed.select(F.col(f"`{listed.columns[0]}`").alias("_key")).where(F.col("_key") != "").distinct()
+    salt = F.pmod(F.xxhash64(url, *[c for c in pages.columns if c.endswith("_id")][:1]), F.lit(SALTS)).cast("int")
+    p = with_parts(pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"), F.col(url).alias("_url"), salt.alias("_salt")), "_url")
     p = p.withColumn("_canon", canonical(F.col("_host"), F.col("_path")))
     h = F.xxhash64("_canon")
     filt = bloom(listed, "_key", max_blocks)
@@ -82,12 +81,10 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES, ma
     for i, w in enumerate(_bits(h)):
         hit = hit & (F.col(f"w{i}").bitwiseAND(w) == w)
     p = p.withColumn("_hit", F.coalesce(hit & (F.col("_canon") != ""), F.lit(False))).drop("_b", "block", "w0", "w1", "w2", "w3")
-    out = p.where(~F.col("_hit")).withColumn("listed", F.lit(False))
+    out = p.where(~F.col("_hit")).withColumn("_listed", F.lit(False))
     salted = listed.select("_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
-    sure = p.where("_hit").withColumn("_salt", F.pmod(F.xxhash64(url, *[c for c in pages.columns if c.endswith("_id")][:1]), F.lit(SALTS)).cast("int"))
-    sure = sure.join(salted, (F.col("_canon") == F.col("_key")) & (F.col("_salt") == F.col("_s")), "left")
-    sure = sure.withColumn("listed", F.col("_key").isNotNull()).drop("_key", "_s", "_salt")
-    both = out.unionByName(sure)
+    sure = p.where("_hit").join(salted, (F.col("_canon") == F.col("_key")) & (F.col("_salt") == F.col("_s")), "left")
+    sure = sure.withColumn("_listed", F.col("_key").isNotNull()).drop("_key", "_s")
     name, action = rule_of(F.col("_host"), F.col("_path"), rules)
-    method = F.when(F.col("listed"), "block").otherwise("allow")
-    return both.withColumns({"host": F.col("_host"), "path": F.col("_path"), "rule": name, "verdict": F.coalesce(action, method)}).drop(*mine)
+    method = F.when(F.col("_listed"), "block").otherwise("allow")
+    return out.unionByName(sure).select(*row, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_listed").alias("listed"), name.alias("rule"), F.coalesce(action, method).alias("verdict"))
