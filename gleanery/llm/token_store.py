@@ -4,7 +4,8 @@ Layout of a store folder, all Parquet:
   kind=chunk    key (SHA-256 of data), data (ids as little-endian unsigned 16- or 32-bit integers), width, n
   kind=recipe   doc_id, n_tokens, root, digests (the keys of the document's chunks in order, 32 bytes each)
   order/        the recipes in ascending doc_id order, dealt to parts: part, pos, doc_id, n_tokens, root, digests
-  manifest/     part, n_docs, n_tokens, start (ids of all parts before), root (Merkle root of the part's recipes)
+  manifest/     part, n_docs, n_tokens, start (ids of all parts before), root (Merkle root over the part's recipes: doc_id,
+                n_tokens and root of each, in order)
 A rolling hash over the last WINDOW ids cuts a stream where its low bits are zero, so equal passages give equal chunks
 wherever they stand. A chunk's bytes are written once.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import kept, pieces, shared_dir, texts, tune
 from gleanery.llm.segments import DIGIT, LETTER, NEWLINE, PUNCT, SPACE, SegmentCache, classes, cuts_to_segments
 
-WINDOW, LEAST, MOST, MASK = 16, 128, 4096, 511
+WINDOW, LEAST, MOST, MASK = 16, 128, 4096, 1023
 #: Most chunk keys that a task remembers to send equal chunks' bytes only once.
 SEEN = 200_000
 SPECIAL = b"<|endoftext|>"
@@ -131,6 +132,37 @@ def merkle(leaves: list[bytes]) -> bytes:
 STAGED = "kind string, key binary, data binary, width int, n int, doc_id long, n_tokens long, root binary, digests binary"
 
 
+ORDER = "part int, pos long, doc_id long, n_tokens long, root binary, digests binary"
+PARTS = "part int, n_docs long, n_tokens long, root binary"
+
+
+def part_roots(ordered: DataFrame) -> DataFrame:
+    """PARTS of each part of the order: the root of the Merkle tree whose leaves are its recipes in order."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for b in batches:
+            for part, doc, n, root in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                a = held.setdefault(part, [0, []])
+                a[0] += n
+                a[1].append(hashlib.sha256(b"%s %d " % (str(doc).encode(), n) + root).digest())
+        rows = [(p, len(leaves), n, merkle(leaves)) for p, (n, leaves) in held.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "n_docs", "n_tokens", "root"])
+
+    return ordered.select("part", "doc_id", "n_tokens", "root", "pos").repartition("part").sortWithinPartitions("part", "pos").mapInArrow(run, PARTS)
+
+
+def audit(spark: SparkSession, path: str) -> DataFrame:
+    """part, base (ids before it), n_tokens, there, sound of each part of the manifest or of the order: whether it is in
+    the order, and whether its recipes, their number, sequence and ids are those of the manifest's root and counts."""
+    want = spark.read.schema(f"{PARTS}, start long").parquet(f"{path}/manifest")
+    has = part_roots(spark.read.schema(ORDER).parquet(f"{path}/order")).select("part", *[F.col(c).alias(f"_{c}") for c in ("n_docs", "n_tokens", "root")])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("n_docs", "n_tokens", "root")]
+    both = want.join(has, "part", "full")
+    return both.select("part", F.coalesce("start", F.lit(0)).alias("base"), "n_tokens", F.col("_root").isNotNull().alias("there"), (same[0] & same[1] & same[2]).alias("sound"))
+
+
 def write_store(docs: DataFrame, tokenizer: str, path: str, end: int = 2) -> str:
     """Writes the store of docs (doc_id, text) to path, a folder that executors share, and returns path.
 
@@ -192,20 +224,9 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end: int = 2) -> str
     w = W.partitionBy("part").orderBy("doc_id", "root", "pos")
     ordered = ordered.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos"), "*")
     ordered.write.option("compression", "zstd").parquet(f"{path}/order")
-    ordered = spark.read.schema("part int, pos long, doc_id long, n_tokens long, root binary, digests binary").parquet(f"{path}/order")
-
-    def part_root(batches):
-        acc: dict[int, list] = {}
-        for b in batches:
-            for part, n, root in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                a = acc.setdefault(part, [0, 0, hashlib.sha256()])
-                a[0], a[1] = a[0] + 1, a[1] + n
-                a[2].update(root)
-        rows = [(p, a[0], a[1], a[2].digest()) for p, a in acc.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "n_docs", "n_tokens", "root"])
+    ordered = spark.read.schema(ORDER).parquet(f"{path}/order")
 
-    parts = ordered.select("part", "n_tokens", "root", "pos").repartition("part").sortWithinPartitions("part", "pos").mapInArrow(part_root, "part int, n_docs long, n_tokens long, root binary")
+    parts = part_roots(ordered)
     # one row for each part of the order: as many as shuffle partitions, not as documents
     start = F.coalesce(F.sum("n_tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts.withColumn("start", start).write.parquet(f"{path}/manifest")
@@ -267,7 +288,7 @@ def chunk_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """part, pos, doc_id, n_tokens, root, i, key of each recipe's chunks."""
-    order = spark.read.schema("part int, pos long, doc_id long, n_tokens long, root binary, digests binary").parquet(f"{path}/order")
+    order = spark.read.schema(ORDER).parquet(f"{path}/order")
     at = F.posexplode(F.sequence(F.lit(0), (F.octet_length("digests") / 32).cast("int") - 1)).alias("i", "k")
     return order.select("part", "pos", "doc_id", "n_tokens", "root", "digests", at).select("part", "pos", "doc_id", "n_tokens", "root", "i", F.substring(F.col("digests"), F.col("k") * 32 + 1, F.lit(32)).alias("key"))
 
@@ -275,8 +296,10 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def verify(spark: SparkSession, path: str) -> DataFrame:
     """part, pos, doc_id, start, n_tokens, ids_crc32, verified of each document, read back from the files.
 
-    verified: every chunk is there and hashes to its key, the keys give the recipe's Merkle root, and the ids are as
-    many as the recipe says. Chunk bytes are read where they are stored; only digests of them are joined to recipes.
+    verified: every chunk is there and hashes to its key, the keys give the recipe's Merkle root, the ids are as many as
+    the recipe says, and the recipes of its part give the manifest's Merkle root and counts, so a recipe that is missing,
+    put in or moved shows in all rows of its part. A part of the manifest without any recipe is one row without doc_id,
+    not verified. Chunk bytes are read where they are stored; only digests of them are joined to recipes.
     """
     tune(spark)
     got = _lines(spark, path).join(chunk_digests(spark, path), "key", "left")
@@ -296,14 +319,20 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(crcs, pa.int64()), pa.array(sound, pa.bool_())], ["part", "pos", "doc_id", "n_tokens", "ids_crc32", "verified"])
 
     docs = docs.mapInArrow(run, "part int, pos long, doc_id long, n_tokens long, ids_crc32 long, verified boolean")
-    starts = spark.read.schema("part int, n_docs long, n_tokens long, root binary, start long").parquet(f"{path}/manifest").select("part", F.col("start").alias("base"))
+    known = audit(spark, path)
     w = W.partitionBy("part").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    # the manifest has one row for each part, so it may be broadcast
-    return docs.join(F.broadcast(starts), "part").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).drop("base")
+    # the audit has one row for each part, so it may be broadcast
+    out = docs.join(F.broadcast(known.select("part", "base", "sound")), "part").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
+    out = out.select("part", "pos", "doc_id", "n_tokens", "ids_crc32", (F.col("verified") & F.col("sound")).alias("verified"), "start")
+    lost = known.where(~F.col("there")).select("part", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("doc_id"), "n_tokens", F.lit(None).cast("long").alias("ids_crc32"), F.lit(False).alias("verified"), F.col("base").alias("start"))
+    return out.unionByName(lost)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, pos, ids: every document put together from its chunks, verified; raises on a document that is not sound."""
+    """doc_id, pos, ids: every document put together from its chunks, verified; raises on a document that is not sound, and
+    on an order that is not the manifest's."""
+    if audit(spark, path).where("NOT sound").limit(1).count():
+        raise ValueError("the recipes are not those of the manifest")
     chunks = spark.read.schema(STAGED).parquet(f"{path}/kind=chunk").select("key", "data", "width")
     docs = _lines(spark, path).join(chunks, "key", "left").groupBy("part", "pos").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("i", "key", "data", "width"))).alias("l"))
 
