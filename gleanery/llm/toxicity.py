@@ -215,13 +215,13 @@ def train(column: pa.Array, y: np.ndarray, width: int = 8, dim: int = 8, buckets
     return Subwords((emb @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0]), width)
 
 
-def fit(docs: DataFrame, labels: DataFrame, where, rows: int = 10_000, chars: int = 20_000) -> Subwords:
-    """Learned on the driver from at most `rows` labelled documents of at most `chars` characters each (both bound the
-    sample; longer ones are no training rows, but are scored whole)."""
+def fit(docs: DataFrame, labels: DataFrame, where, rows: int = 8_000) -> Subwords:
+    """Learned on the driver from the whole texts of at most `rows` labelled documents, long ones too (the bound of the
+    sample)."""
     tune(docs.sparkSession)
     picked = sample_of_labels(labels, "toxic", where, rows)
     # at most `rows` rows of two numbers, so it may be broadcast
-    got = docs.where(F.length("text") <= chars).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text", F.xxhash64("doc_id", "text").alias("h")).toArrow().combine_chunks()
+    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text", F.xxhash64("doc_id", "text").alias("h")).toArrow().combine_chunks()
     got = got.sort_by([("h", "ascending"), ("y", "ascending")])
     return train(got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()), got["y"].to_numpy())
 
