@@ -413,7 +413,8 @@ def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sid, component_id (the smallest doc_id reachable by links, itself included) of every row.
+    """doc_id, n_shingles, sid, component_id (the smallest doc_id reachable by links, itself included), t (hash of the text)
+    and group_id (the same number for all rows that links connect, null for rows without links) of every row.
 
     A text that is null, empty or without words has an empty set, no link and its own id as component. Rows with equal
     sets are linked, repeated rows too; a null doc_id is no candidate for a component's id unless all are null, and
@@ -421,24 +422,24 @@ def join(docs: DataFrame) -> DataFrame:
     gives none.
     """
     tune(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
 
     def measure(batches):
         for b in batches:
             got = [(len(s), set_id(s)) for s in shingle_sets(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["doc_id", "n", "sid"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64()), b.column(2)], ["doc_id", "n", "sid", "t"])
 
-    sizes = written(docs.mapInArrow(measure, "doc_id long, n long, sid long"), "set-sizes")
+    sizes = written(docs.mapInArrow(measure, "doc_id long, n long, sid long, t long"), "set-sizes")
     usable = sizes.where("n > 0 AND doc_id IS NOT NULL")
     group = written(components(written(links(docs.where("doc_id IS NOT NULL"), usable), "links")), "components")
     first = usable.groupBy("sid").agg(F.min("doc_id").alias("d"))
     of = first.join(group, F.col("sid") == F.col("node"), "left").select("sid", "d", F.coalesce("root", "sid").alias("root"))
     least = of.groupBy("root").agg(F.min("d").alias("component_id"))
-    ids = of.join(least, "root").select("sid", "component_id")
+    ids = of.join(least, "root").select("sid", "component_id", F.col("root").alias("group_id"))
     # copies of one set may be a third of all rows: only sets whose component has another id than the row are joined
     # by a key that is spread over SALTS values
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")
     spread = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    linked = usable.withColumn("salt", salt).join(spread, ["sid", "salt"]).select("doc_id", F.col("n").alias("n_shingles"), "sid", "component_id")
-    lone = sizes.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "sid", F.col("doc_id").alias("component_id"))
+    linked = usable.withColumn("salt", salt).join(spread, ["sid", "salt"]).select("doc_id", F.col("n").alias("n_shingles"), "sid", "component_id", "t", "group_id")
+    lone = sizes.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "sid", F.col("doc_id").alias("component_id"), "t", F.lit(None).cast("long").alias("group_id"))
     return linked.unionByName(lone)
