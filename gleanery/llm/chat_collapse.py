@@ -15,18 +15,19 @@ from pyspark.sql import functions as F
 OPEN, BETWEEN, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
+def turn_codes() -> tuple:
+    """Two hashes of a turn's role and text, in which null and empty differ."""
+    role, text = [F.col("role").isNull(), F.col("role")], [F.col("text").isNull(), F.col("text")]
+    return F.xxhash64(F.lit("a"), *role, *text).alias("a"), F.xxhash64(*text, *role, F.lit("b")).alias("b")
+
+
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """conv_id, i, n, p1, p2: hashes of the first i of n turns. One shuffle of hashes on conv_id; no text moves."""
-    t = turns.where(F.col("conv_id").isNotNull()).select(
-        "conv_id",
-        "turn",
-        F.xxhash64(F.lit("a"), F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0"))).alias("a"),
-        F.xxhash64(F.coalesce("text", F.lit("\0")), F.coalesce("role", F.lit("\0")), F.lit("b")).alias("b"),
-    )
-    w = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "a", "b")
-    t = t.withColumn("i", F.row_number().over(w))
-    t = t.withColumns({"c1": F.xxhash64("i", "a", "b"), "c2": F.xxhash64("b", "i", "a")})
-    run = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    """conv_id, i, n, p1, p2: hashes of the first i of n turns. One shuffle on conv_id, with the texts that part turns of
+    one number."""
+    w = W.partitionBy("conv_id").orderBy(*[F.col(c).asc_nulls_first() for c in ("turn", "role", "text")])
+    t = turns.where(F.col("conv_id").isNotNull()).select("conv_id", *turn_codes(), F.row_number().over(w).alias("i"))
+    t = t.select("conv_id", "i", F.xxhash64("i", "a", "b").alias("c1"), F.xxhash64("b", "i", "a").alias("c2"))
+    run = W.partitionBy("conv_id").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy("conv_id")
     return t.select("conv_id", "i", F.count("*").over(whole).cast("int").alias("n"), F.bit_xor("c1").over(run).alias("p1"), F.bit_xor("c2").over(run).alias("p2"))
 
@@ -44,16 +45,15 @@ def maximal(turns: DataFrame) -> DataFrame:
 def collapse(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies, rendered for each maximal conversation.
 
-    Turns are ordered by turn (null first), ties by the turn's hash; a repeated row is a turn of its own. Null roles
-    render as empty, as do null texts, but differ from empty ones when conversations are compared. Rows without
-    conv_id are left out, an empty table gives none, other columns are ignored.
+    Turns are ordered by turn, ties by role and text, null first; a repeated row is a turn of its own. Null roles render as
+    empty, as do null texts, but differ from empty ones when conversations are compared. A conversation of very many turns
+    is one value, so its window and its rendering are one task's work. Rows without conv_id are left out, an empty table
+    gives none, other columns are ignored.
     """
     turns = turns.select("conv_id", "turn", "role", "text")
     keep = maximal(turns)
-    line = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit(BETWEEN), F.coalesce("text", F.lit("")), F.lit(CLOSE))
-    a = F.xxhash64(F.lit("a"), F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0")))
-    b = F.xxhash64(F.coalesce("text", F.lit("\0")), F.coalesce("role", F.lit("\0")), F.lit("b"))
-    rows = turns.select("conv_id", "turn", a.alias("a"), b.alias("b"), line.alias("line")).join(keep.select("conv_id"), "conv_id", "left_semi")
-    parts = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "a", "b", "line"))).alias("l"))
-    text = parts.select("conv_id", F.concat_ws("", F.col("l.line")).alias("rendered"))
+    rows = turns.join(keep.select("conv_id"), "conv_id", "left_semi")
+    parts = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("l"))
+    line = lambda x: F.concat(F.lit(OPEN), F.coalesce(x.role, F.lit("")), F.lit(BETWEEN), F.coalesce(x.text, F.lit("")), F.lit(CLOSE))
+    text = parts.select("conv_id", F.array_join(F.transform("l", line), "").alias("rendered"))
     return keep.join(text, "conv_id")

@@ -51,25 +51,40 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     return hits.select("doc_id", "item_id", "start", agree.alias("matched"), F.size("iw").alias("item_words"))
 
 
+def verbatim(docs: DataFrame, items: DataFrame, words: int) -> DataFrame:
+    """As overlaps, for items of fewer than SPAN words, all of `words` words: every place that has all of them in order."""
+    code = lambda w, at: F.xxhash64(F.lit(words), *[F.get(w, at + k) for k in range(words)])
+    d = docs.select("doc_id", word_hashes(F.col("text")).alias("dw")).where(F.size("dw") >= words)
+    d = d.select("doc_id", "dw", F.posexplode(F.slice("dw", F.lit(1), F.size("dw") - (words - 1))).alias("start", "_"))
+    d = d.select("doc_id", "start", F.slice("dw", F.col("start") + 1, F.lit(words)).alias("own"), code(F.col("dw"), F.col("start")).alias("code"))
+    short = items.where(F.size("iw") == words).withColumn("code", code(F.col("iw"), F.lit(0)))
+    hits = d.join(F.broadcast(short), "code").where(F.col("own") == F.col("iw"))  # the caller bounds the items
+    return hits.select("doc_id", "item_id", "start", F.lit(words).alias("matched"), F.lit(words).alias("item_words"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: int = 8) -> DataFrame:
     """doc_id, item_id, matched, item_words, start (in words): the best overlap of each document with each item of
-    which at least `share` of the words, and `least` words, agree on one diagonal; of equal overlaps the first.
+    which at least `share` of the words, and `least` words, agree on one diagonal; of equal overlaps the first. An item
+    of fewer than SPAN words, which no mask fits, counts where all its words stand in a text one after the other.
 
-    Words are lower-cased, so case, white space and punctuation do not count. A text or item with null, no or fewer
-    than SPAN words has no seeds and no row. Repeated rows of one doc_id count as one document, items of one item_id
-    are each laid over; null ids are ids of their own. Other columns are ignored. An empty table gives no rows.
+    Words are lower-cased, so case, white space and punctuation do not count. A text or item with null or no words has
+    no row. Repeated rows of one doc_id count as one document, items of one item_id are each laid over; null ids are ids
+    of their own. Other columns are ignored. An empty table gives no rows.
     """
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("iw")).where(F.size("iw") >= SPAN)
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("iw"))
+    items = items.where((F.size("iw") > 1) | (F.get("iw", F.lit(0)) != F.xxhash64(F.lit(""))))
     total = items.agg(F.sum(F.size("iw"))).first()[0] or 0
+    lengths = sorted(r.n for r in items.select(F.size("iw").alias("n")).where(F.col("n") < SPAN).distinct().collect())  # SPAN - 1 at most
     blocks = max(1, -(-total * len(MASKS) // BLOCK_SEEDS))
     items = items.withColumn("_key", F.struct("item_id", F.hash("iw")))
     found = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("_key"), F.lit(blocks)) == b)
         # ids are carried as they are; the item's words tell apart items that share an id
-        got = overlaps(docs, part.select(F.col("_key").alias("item_id"), "iw"))
-        found = got if found is None else found.unionByName(got)
-    found = found.where((F.col("matched") >= share * F.col("item_words")) & (F.col("matched") >= least))
+        part = part.select(F.col("_key").alias("item_id"), "iw")
+        for got in (overlaps(docs, part.where(F.size("iw") >= SPAN)), *(verbatim(docs, part, n) for n in lengths)):
+            found = got if found is None else found.unionByName(got)
+    found = found.where((F.col("item_words") < SPAN) | (F.col("matched") >= share * F.col("item_words")) & (F.col("matched") >= least))
     best = F.min(F.struct((-F.col("matched")).alias("m"), "start", "item_words"))
     out = found.select("doc_id", F.col("item_id.item_id").alias("item_id"), "start", "matched", "item_words").groupBy("doc_id", "item_id").agg(best.alias("b"))
     return out.select("doc_id", "item_id", (-F.col("b.m")).alias("matched"), F.col("b.item_words").alias("item_words"), F.col("b.start").alias("start"))

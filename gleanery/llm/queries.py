@@ -84,7 +84,10 @@ s AS (SELECT item_id, o, p, [w[p + 1 + o[1]], w[p + 1 + o[2]], w[p + 1 + o[3]],
 h AS (SELECT DISTINCT doc_id, item_id, ds.p - s.p AS start FROM ds JOIN s USING (o, k)),
 c AS (SELECT h.*, len(i.w) AS item_words, (SELECT count(*) FROM range(0, len(i.w)) t(x) WHERE h.start + x >= 0 AND d.w[h.start + x + 1] = i.w[x + 1]) AS matched
   FROM h JOIN d USING (doc_id) JOIN i USING (item_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start) AS n FROM c WHERE matched >= 8 AND matched >= 0.5 * item_words)
+v AS (SELECT doc_id, item_id, p AS start, len(i.w) AS item_words, len(i.w) AS matched FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM d) t
+  JOIN i ON len(i.w) BETWEEN 1 AND 7 AND t.w[p + 1:p + len(i.w)] = i.w),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start) AS n FROM (SELECT doc_id, item_id, start, item_words, matched FROM c
+  WHERE matched >= 8 AND matched >= 0.5 * item_words UNION ALL SELECT * FROM v))
 SELECT doc_id, item_id, CAST(matched AS INTEGER) AS matched, CAST(item_words AS INTEGER) AS item_words, CAST(start AS INTEGER) AS start FROM r WHERE n = 1
 """
 
@@ -136,11 +139,11 @@ def op9_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_CHAT = """
 WITH t AS (SELECT conv_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
   string_agg(coalesce(role, '<null>') || chr(31) || coalesce(text, '<null>'), chr(30)) OVER (w ROWS UNBOUNDED PRECEDING) AS prefix
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
 f AS (SELECT n, prefix, min(conv_id) AS conv_id, count(*) AS n_copies FROM t WHERE i = n GROUP BY n, prefix),
 k AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.i < t.n AND t.i = f.n AND t.prefix = f.prefix))
 SELECT k.conv_id, CAST(k.n AS INTEGER) AS n_turns, k.n_copies, string_agg('<|im_start|>' || coalesce(c.role, '') || chr(10) || coalesce(c.text, '')
-  || '<|im_end|>' || chr(10), '' ORDER BY c.turn, c.role, c.text) AS rendered
+  || '<|im_end|>' || chr(10), '' ORDER BY c.turn NULLS FIRST, c.role NULLS FIRST, c.text NULLS FIRST) AS rendered
 FROM k JOIN conversations c USING (conv_id) GROUP BY ALL
 """
 

@@ -454,3 +454,62 @@ def test_met_rows_do_not_depend_on_partitions(spark, bands):
     assert set(got) == {i for i, s in want.items() if s}
     for i, (n, tokens, dfs) in got.items():
         assert n == len(want[i]) and set(tokens.tolist()) == want[i] and all(several[t] == d for t, d in zip(tokens.tolist(), dfs.tolist(), strict=True))
+
+
+def test_lost_and_moved_recipes_are_seen(spark, tmp_path):
+    """A part of the order that is deleted, and two recipes that change places."""
+    import pyarrow.parquet as pq
+
+    from gleanery.llm import token_store as S
+
+    docs = spark.createDataFrame([(i, f"words of document {i} " * (20 + i)) for i in range(40)], "doc_id long, text string")
+    for name in ("deleted", "swapped"):
+        where = S.write_store(docs, Q.vocabulary("byte_bpe_50k.json"), f"file://{tmp_path}/{name}")
+        assert S.verify(spark, where).where("verified").count() == 40
+        files = sorted(p for p in (tmp_path / name / "order").glob("part-*.parquet") if pq.read_metadata(p).num_rows > 1)
+        if name == "deleted":
+            files[0].unlink()
+        else:
+            rows = spark.read.parquet(f"file://{files[0]}").toPandas()
+            rows.loc[[0, 1], ["doc_id", "n_tokens", "root", "digests"]] = rows.loc[[1, 0], ["doc_id", "n_tokens", "root", "digests"]].to_numpy()
+            new = spark.createDataFrame(rows, S.ORDER).coalesce(1)
+            new.write.parquet(f"file://{tmp_path}/new")
+            files[0].unlink()
+            next((tmp_path / "new").glob("part-*.parquet")).rename(files[0])
+            (tmp_path / name / "order" / f".{files[0].name}.crc").unlink(missing_ok=True)
+        got = S.verify(spark, where).collect()
+        assert any(not r.verified for r in got) and (name == "swapped" or any(r.doc_id is None for r in got))
+        with pytest.raises(ValueError, match="manifest"):
+            S.read_documents(spark, where)
+
+
+def test_short_items_verbatim(spark):
+    from gleanery.llm.decontaminate import contaminated
+
+    bench = spark.createDataFrame([(1, "What is Alpha?"), (2, "..."), (3, "beta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so: WHAT is alpha, really"), (2, "what alpha is"), (3, "..."), (4, "beta"), (None, "is beta what is alpha")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start) for r in contaminated(docs, bench).collect()}
+    assert got == {(1, 1, 1), (4, 3, 0), (None, 1, 2), (None, 3, 1)}
+
+
+def test_ties_of_turns(spark):
+    """Turns of one number stand in the order of role and text; null and one odd character differ."""
+    from gleanery.llm.chat_collapse import collapse
+
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "bot", "z"), (2, 0, None, "x"), (3, 0, "\0", "x")]
+    rows += [(4, i, "user", f"turn {i}") for i in range(3000)]
+    got = {r.conv_id: r for r in collapse(spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, i int, p1 int")).collect()}
+    assert got[1].rendered == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in (("bot", "z"), ("user", "a"), ("user", "b")))
+    assert set(got) == {1, 2, 3, 4} and got[4].n_turns == 3000 and got[4].rendered.count("<|im_end|>") == 3000
+
+
+def test_url_columns_clash(spark):
+    from gleanery.llm.url_filter import judge
+
+    names = ["block", "w0", "w3", "_key", "_host", "_canon", "_hit", "_salt", "_s", "host", "listed"]
+    long = "http://bad.example.com/" + "a" * 200_000
+    pages = spark.createDataFrame([(i, u, *range(len(names))) for i, u in enumerate(("http://bad.example.com/p", "http://x.net/", long))], "page_id long, url string, " + ", ".join(f"{n} int" for n in names))
+    listed = spark.createDataFrame([("bad.example.com/p",), (long[7:],)], "u string")
+    got = sorted(judge(pages, listed).collect(), key=lambda r: r.page_id)
+    assert [r.verdict for r in got] == ["block"] * 3 and [r.listed for r in got] == [True, False, True]
+    assert all([r["block"], r.w0, r.w3, r._key, r._host, r._canon, r._hit, r._salt, r._s, r.host_input, r.listed_input] == list(range(len(names))) for r in got)
