@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 import types
@@ -65,6 +67,13 @@ def kept(key: object, make):
     return store[key]
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system; a reused Python worker would keep what its largest task took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n + 1 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -79,6 +79,9 @@ def test_lines(spark, odd, empty):
     assert dedup(empty).count() == 0
 
 
+BRUTE: dict = {}
+
+
 def line_texts(docs) -> dict:
     """Normalised text of each distinct line of five words or more, by hash."""
     from gleanery.llm.line_dedup import LEAST_WORDS, fold, line_table
@@ -95,14 +98,17 @@ def similar_pairs(text: list[str]) -> list[tuple[int, int]]:
     from gleanery.llm.edits import Lines
 
     lines = Lines(text)
-    out = []
+    one, two = [], []
     for k in range(1, len(text)):
         allowed = (0.15 * np.maximum(lines.size[:k], lines.size[k]) + 1e-9).astype(np.int64)
         j = np.flatnonzero(np.abs(lines.size[:k] - lines.size[k]) <= allowed)
         d = lines.counts[j] - lines.counts[k]
         j = j[np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1)) <= allowed[j]]
-        out += [(int(x), k) for x in j[lines.similar(j, np.full(len(j), k), 0.85)]]
-    return out
+        one.append(j)
+        two.append(np.full(len(j), k))
+    i, j = np.concatenate(one), np.concatenate(two)
+    ok = lines.similar(i, j, 0.85)
+    return list(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
 
 
 def test_lines_stay_once(spark):
@@ -123,7 +129,7 @@ def test_similar_lines_against_brute_force(spark, hot, least, monkeypatch):
     docs = spark.read.parquet(f"{SF1}/documents.parquet")
     text = line_texts(docs)
     ids = sorted(text)
-    pairs = similar_pairs([text[x] for x in ids])
+    pairs = BRUTE["pairs"] if "pairs" in BRUTE else BRUTE.setdefault("pairs", similar_pairs([text[x] for x in ids]))
     keep = {r.h: r.keep for r in L.line_groups(docs)[1].collect()}
     found = [a in keep and keep[a] == keep.get(b) for a, b in ((ids[i], ids[j]) for i, j in pairs)]
     print("pairs", len(pairs), "recall", sum(found) / len(found))
