@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import sys
 import tempfile
 import types
@@ -74,6 +75,17 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(run):
+    """run, a generator function of mapInArrow, that trims after its last batch."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n + 1 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import discard, written
+from gleanery.llm.common import discard, tidy, written
 
 #: Edges that a task holds before it contracts them.
 HELD = 2_000_000
@@ -46,7 +46,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         a, b = contract(a, b)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").mapInArrow(tidy(run), "a long, b long")
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import checked, pieces, texts, tune, written
+from gleanery.llm.common import checked, pieces, texts, tidy, tune, written
 from gleanery.llm.components import components
 from gleanery.llm.segments import mix, ragged, segment_hashes
 
@@ -240,7 +240,7 @@ def shared_prefixes(docs: DataFrame) -> DataFrame:
                     toks.append(s[: prefix(len(s))])
             yield from _blobs(own, toks, bands)
 
-    return _meet(docs.select("text").mapInArrow(emit, BLOBS), bands, False)
+    return _meet(docs.select("text").mapInArrow(tidy(emit), BLOBS), bands, False)
 
 
 def shared_wholly(sets: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def shared_wholly(sets: DataFrame) -> DataFrame:
         for b in batches:
             yield from _blobs(b.column(0).to_pylist(), _sets(b.column(1)), bands)
 
-    return _meet(sets.select("sid", "items").mapInArrow(emit, BLOBS), bands, True)
+    return _meet(sets.select("sid", "items").mapInArrow(tidy(emit), BLOBS), bands, True)
 
 
 BLOBS = "band int, tok binary, sid binary, count binary"
@@ -312,8 +312,8 @@ def _meet(blobs: DataFrame, bands: int, lists: bool) -> DataFrame:
                 raw, dfs = ([c[x:y].tobytes() for x, y in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)] for c in (tok, df))
                 yield pa.RecordBatch.from_arrays([pa.array(sid[s[:-1]]), pa.array(np.diff(s), pa.int64()), pa.array(raw, pa.binary()), pa.array(dfs, pa.binary())], ["sid", "shared", "tokens", "dfs"])
 
-    met = blobs.repartitionById(bands, F.col("band")).mapInArrow(meet, BLOBS)
-    return met.repartitionById(bands, F.col("band")).mapInArrow(gather, "sid long, shared long" + ", tokens binary, dfs binary" * lists)
+    met = blobs.repartitionById(bands, F.col("band")).mapInArrow(tidy(meet), BLOBS)
+    return met.repartitionById(bands, F.col("band")).mapInArrow(tidy(gather), "sid long, shared long" + ", tokens binary, dfs binary" * lists)
 
 
 def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
             got = [(set_id(s), s.tobytes()) for s in shingle_sets(b.column(0)) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.binary())], ["sid", "items"])
 
-    full = docs.join(homes, "doc_id", "left_semi").select("text").mapInArrow(whole, "sid long, items binary").groupBy("sid").agg(F.first("items").alias("items"))
+    full = docs.join(homes, "doc_id", "left_semi").select("text").mapInArrow(tidy(whole), "sid long, items binary").groupBy("sid").agg(F.first("items").alias("items"))
 
     def facts(batches):
         """sid, n, items, bits, early (the two smallest shared shingles, in which most groups meet), first (the shared ones
@@ -347,7 +347,7 @@ def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     full = written(full, "near-items")
     # a partner holds three quarters of the set's shingles, so that many are in some other of the sets that are left
     near = near.select("sid", "n").join(shared_wholly(full), "sid").where("4 * shared >= 3 * n")
-    known = written(near.select("sid", "n", "tokens", "dfs").join(full, "sid").mapInArrow(facts, "sid long, n long, items binary, bits binary, early array<long>, first array<long>"), "set-facts")
+    known = written(near.select("sid", "n", "tokens", "dfs").join(full, "sid").mapInArrow(tidy(facts), "sid long, n long, items binary, bits binary, early array<long>, first array<long>"), "set-facts")
 
     def verified(rows: DataFrame) -> DataFrame:
         """Edges within each (key, part) of rows (key, part, sid, items)."""
@@ -356,7 +356,7 @@ def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
             for t in _runs(batches, 2):
                 yield _edges(bucket_links(t.column(2).to_pylist(), _sets(t.column(3))))
 
-        return rows.select("key", "part", "sid", "items").repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long")
+        return rows.select("key", "part", "sid", "items").repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(tidy(run), "a long, b long")
 
     keyed = known.select(F.explode("early").alias("key"), "sid")
     counts = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -389,7 +389,7 @@ def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*got, strict=True)], ["a", "b", "p", "q"])
 
-    pairs = rows.select("key", "x", "y", "sid", "root", "n", "bits").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(candidates, "a long, b long, p long, q long")
+    pairs = rows.select("key", "x", "y", "sid", "root", "n", "bits").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(tidy(candidates), "a long, b long, p long, q long")
     pairs = written(pairs.distinct(), "pairs")
 
     def confirm(batches):
@@ -399,7 +399,7 @@ def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
 
     def confirmed(some: DataFrame) -> DataFrame:
         left, right = (known.select(F.col("sid").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
-        return some.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items").mapInArrow(confirm, "a long, b long")
+        return some.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items").mapInArrow(tidy(confirm), "a long, b long")
 
     # a few pairs of each two components tell most that belong together; then only pairs that still cross are verified
     w = W.partitionBy(F.least("p", "q"), F.greatest("p", "q")).orderBy(F.xxhash64("a", "b"))
@@ -429,7 +429,7 @@ def join(docs: DataFrame) -> DataFrame:
             got = [(len(s), set_id(s)) for s in shingle_sets(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64()), b.column(2)], ["doc_id", "n", "sid", "t"])
 
-    sizes = written(docs.mapInArrow(measure, "doc_id long, n long, sid long, t long"), "set-sizes")
+    sizes = written(docs.mapInArrow(tidy(measure), "doc_id long, n long, sid long, t long"), "set-sizes")
     usable = sizes.where("n > 0 AND doc_id IS NOT NULL")
     group = written(components(written(links(docs.where("doc_id IS NOT NULL"), usable), "links")), "components")
     first = usable.groupBy("sid").agg(F.min("doc_id").alias("d"))

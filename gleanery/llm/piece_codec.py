@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from gleanery.llm.common import kept, pieces, texts, tune
+from gleanery.llm.common import kept, pieces, texts, tidy, tune
 from gleanery.llm.segments import LETTER, PUNCT, SegmentCache, classes, cuts_to_segments
 
 MARK = "▁"
@@ -180,7 +180,7 @@ def encode_table(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
                 k0 += len(n)
 
     d = docs.select(key, text)
-    return d.mapInArrow(run, f"{key} {dict(d.dtypes)[key]}, ids array<int>, decoded string")
+    return d.mapInArrow(tidy(run), f"{key} {dict(d.dtypes)[key]}, ids array<int>, decoded string")
 
 
 def digest_table(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,4 +204,4 @@ def digest_table(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_all, pa.int64()), pa.array(a, pa.string()), pa.array(c, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     d = docs.select(key, text)
-    return d.mapInArrow(run, f"{key} {dict(d.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return d.mapInArrow(tidy(run), f"{key} {dict(d.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gleanery.llm.common import pieces, texts, tune
+from gleanery.llm.common import pieces, texts, tidy, tune
 from gleanery.llm.segments import DIGIT, NEWLINE, OTHER, PUNCT, SPACE, classes, segment_hashes
 
 #: Names of the statistics. None of them is a label, a language, a source or an id.
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column, rows: int = 20_000) -
 
     picked = sample_of_labels(labels, "quality", where, rows)
     # at most `rows` rows of two numbers, so it may be broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text").mapInArrow(run, "y double, f array<double>").collect()
+    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text").mapInArrow(tidy(run), "y double, f array<double>").collect()
     x = np.array([r.f for r in got]).reshape(-1, len(FEATURES))
     y = np.array([r.y for r in got])
     order = np.lexsort((*x.T, y))  # the same trees whatever order the rows come in
@@ -184,4 +184,4 @@ def score(docs: DataFrame, model: Boosted) -> DataFrame:
             s = model.score(statistics(b.column(names.index("text"))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField("score", DoubleType())]))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import kept, pieces, shared_dir, texts, tune
+from gleanery.llm.common import kept, pieces, shared_dir, texts, tidy, tune
 from gleanery.llm.segments import DIGIT, LETTER, NEWLINE, PUNCT, SPACE, SegmentCache, classes, cuts_to_segments
 
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, 1023
@@ -150,7 +150,7 @@ def part_roots(ordered: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "n_docs", "n_tokens", "root"])
 
-    return ordered.select("part", "doc_id", "n_tokens", "root", "pos").repartition("part").sortWithinPartitions("part", "pos").mapInArrow(run, PARTS)
+    return ordered.select("part", "doc_id", "n_tokens", "root", "pos").repartition("part").sortWithinPartitions("part", "pos").mapInArrow(tidy(run), PARTS)
 
 
 def audit(spark: SparkSession, path: str) -> DataFrame:
@@ -211,8 +211,8 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end: int = 2) -> str
             last = key[len(key) - 1].as_py()
             yield b.filter(pa.array(keep))
 
-    staged = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, STAGED)
-    staged = staged.repartition("key").sortWithinPartitions("kind", "key").mapInArrow(once, STAGED)
+    staged = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(tidy(run), STAGED)
+    staged = staged.repartition("key").sortWithinPartitions("kind", "key").mapInArrow(tidy(once), STAGED)
     staged.write.option("compression", "zstd").partitionBy("kind").parquet(path)
     spark = docs.sparkSession
     empty = spark.createDataFrame([], STAGED)
@@ -283,7 +283,7 @@ def chunk_digests(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], ["key", "n", "crc", "sound"])
 
     chunks = spark.read.schema(STAGED).parquet(f"{path}/kind=chunk").select("key", "data", "width", "n")
-    return chunks.mapInArrow(run, "key binary, n int, crc long, sound boolean")
+    return chunks.mapInArrow(tidy(run), "key binary, n int, crc long, sound boolean")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -318,7 +318,7 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
                 sound.append(all(x["sound"] for x in l) and sum(x["n"] for x in l) == want and merkle([x["key"] for x in l]) == root)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(crcs, pa.int64()), pa.array(sound, pa.bool_())], ["part", "pos", "doc_id", "n_tokens", "ids_crc32", "verified"])
 
-    docs = docs.mapInArrow(run, "part int, pos long, doc_id long, n_tokens long, ids_crc32 long, verified boolean")
+    docs = docs.mapInArrow(tidy(run), "part int, pos long, doc_id long, n_tokens long, ids_crc32 long, verified boolean")
     known = audit(spark, path)
     w = W.partitionBy("part").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     # the audit has one row for each part, so it may be broadcast
@@ -347,7 +347,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError("a document's ids are not as many as its recipe says")
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "pos", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, pos long, ids array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, pos long, ids array<long>")
 
 
 def store(docs: DataFrame, tokenizer: str, end: int = 2) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gleanery.llm.common import kept, pieces, texts, tune
+from gleanery.llm.common import kept, pieces, texts, tidy, tune
 from gleanery.llm.quality_gbdt import sample_of_labels
 from gleanery.llm.segments import LETTER, OTHER, classes, mix, ragged, segment_hashes
 
@@ -244,4 +244,4 @@ def score(docs: DataFrame, model: Subwords) -> DataFrame:
             s = shared.value.score(b.column(names.index("text")), known)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
