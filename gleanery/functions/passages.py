@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
+
 # Break points: pattern and score (fixed values).
 BREAKS = [
     (r"\n#(?!#)", 100), (r"\n##(?!#)", 90), (r"\n###(?!#)", 80), (r"\n####(?!#)", 70), (r"\n#####(?!#)", 60), (r"\n######(?!#)", 50),
@@ -29,34 +31,60 @@ def fences(text: str) -> list[tuple[int, int]]:
     return [*out, (marks[-1], len(text))] if len(marks) % 2 else out
 
 
+class Cuts:
+    """A text's break points outside code, as sorted arrays."""
+
+    def __init__(self, text: str):
+        points = break_points(text)
+        self.at = np.fromiter(points, np.int64, len(points))
+        self.score = np.fromiter(points.values(), float, len(points))
+        for a, b in fences(text):
+            free = (self.at <= a) | (self.at >= b)
+            self.at, self.score = self.at[free], self.score[free]
+
+    def before(self, target: int, reach: int) -> int:
+        """The break among the `reach` characters up to target that is worth most, the first of equal ones; its worth falls
+        with the square of the distance. Without a break, target itself."""
+        near = slice(np.searchsorted(self.at, target - reach, "left"), np.searchsorted(self.at, target, "right"))
+        if near.start == near.stop:
+            return target
+        far = (target - self.at[near]) / reach
+        return int(self.at[near][np.argmax(self.score[near] * (1 - DECAY * far * far))])
+
+
 def cut(points: dict[int, int], code: list[tuple[int, int]], target: int, reach: int = REACH) -> int:
-    """Where to end a chunk that should end at target: the break of the last `reach` characters with the best score,
-    which falls with the square of the distance; breaks inside code do not count."""
-    best, where = -1.0, target
-    for pos, score in points.items():
-        if target - reach <= pos <= target and not any(a < pos < b for a, b in code):
-            s = score * (1 - ((target - pos) / reach) ** 2 * DECAY)
-            if s > best:
-                best, where = s, pos
-    return where
+    """Cuts.before for break points and code spans that are at hand."""
+    own = Cuts("")
+    own.at, own.score = np.fromiter(points, np.int64, len(points)), np.fromiter(points.values(), float, len(points))
+    free = np.array([not any(a < p < b for a, b in code) for p in points], bool)
+    own.at, own.score = own.at[free], own.score[free]
+    return own.before(target, reach)
+
+
+def spans(text: str, size: int, overlap: int, reach: int) -> Iterator[tuple[int, int]]:
+    """Starts and ends of chunks: each ends at the best break before its largest size, if that leaves it any text, and the
+    next one begins `overlap` earlier, if that is a step forwards."""
+    cuts, last = Cuts(text) if len(text) > size else None, len(text)
+
+    def following(span: tuple[int, int]) -> tuple[int, int]:
+        start = span[1] - overlap if span[1] - overlap > span[0] else span[1]
+        most = start + size
+        if most >= last:
+            return start, last
+        end = cuts.before(most, reach)
+        return start, end if end > start else most
+
+    span = following((-overlap - 1, overlap) if overlap else (-1, 0))  # as if a chunk had ended where the first begins
+    yield span
+    while span[1] < last:
+        span = following(span)
+        yield span
 
 
 def chunks(text: str, size: int = SIZE, overlap: int = OVERLAP, reach: int = REACH) -> Iterator[tuple[int, str]]:
     """(position, text) of overlapping chunks of at most `size` characters; together they cover the text."""
-    if len(text) <= size:
-        yield 0, text
-        return
-    points, code, start = break_points(text), fences(text), 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            near = {p: s for p, s in points.items() if end - reach <= p <= end}
-            c = cut(near, code, end, reach)
-            end = c if c > start else end
-        yield start, text[start:end]
-        if end >= len(text):
-            return
-        start = end - overlap if end - overlap > start else end
+    for a, b in spans(text, size, overlap, reach):
+        yield a, text[a:b]
 
 
 def token_chunks(text: str, count, most: int = 900) -> Iterator[tuple[int, str]]:
@@ -71,28 +99,27 @@ def token_chunks(text: str, count, most: int = 900) -> Iterator[tuple[int, str]]
         todo += [(pos + half, t[half:]), (pos, t[:half])]
 
 
+def place(first: int, shown: int, total: int) -> str:
+    """Header of an excerpt: its first line, its lines, and those before and after it."""
+    return f"@@ -{first + 1},{shown} @@ ({first} before, {total - first - shown} after)"
+
+
 def snippet(body: str, query: list[str], intent: list[str] = (), most: int = 500, at: int = 0, length: int = SIZE) -> tuple[int, str]:
-    """(line, snippet): the line with most query terms (intent terms count 0.3), one line before and two after, under a
-    header with its place. at: looks only around a chunk that starts there."""
-    lines, skipped = body.split("\n"), 0
-    part = lines
-    if at > 0:
-        lo, hi = max(0, at - 100), min(len(body), at + length + 100)
-        skipped = body.count("\n", 0, lo)
-        part = body[lo:hi].split("\n")
-    best, line = -1.0, 0
-    for i, l in enumerate(part):
-        low = l.lower()
-        s = sum(t.lower() in low for t in query) + 0.3 * sum(t.lower() in low for t in intent)
-        if s > best:
-            best, line = s, i
-    if at > 0 and best <= 0:
+    """(line, snippet): the line with most query terms (intent terms count 0.3, the first of equal lines), one line before and
+    two after, under a header with its place. at: looks only around a chunk that starts there, and in the whole text where
+    that gives a blank excerpt."""
+    low, high = (max(0, at - 100), min(len(body), at + length + 100)) if at > 0 else (0, len(body))
+    weights = [(t.lower(), 1.0) for t in query] + [(t.lower(), 0.3) for t in intent]
+    part = body[low:high].split("\n")
+    worth = [sum(w for t, w in weights if t in l.lower()) for l in part]
+    line = worth.index(max(worth))
+    shown = part[max(0, line - 1) : line + 3]
+    text = "\n".join(shown)
+    if at > 0 and not text.strip():
         return snippet(body, query, intent, most)
-    a, b = max(0, line - 1), min(len(part), line + 3)
-    text = "\n".join(part[a:b])
-    text = text[: most - 3] + "..." if len(text) > most else text
-    first, before = skipped + a + 1, skipped + a
-    return skipped + line + 1, f"@@ -{first},{b - a} @@ ({before} before, {len(lines) - before - (b - a)} after)\n{text}"
+    skipped = body.count("\n", 0, low)
+    short = text if len(text) <= most else text[: most - 3] + "..."
+    return skipped + line + 1, place(skipped + max(0, line - 1), len(shown), body.count("\n") + 1) + "\n" + short
 
 
 HEADING = re.compile(r"^(#{1,6})\s*(\S.*?)\s*#*\s*$")

@@ -95,22 +95,12 @@ def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def batches(todo: DataFrame, max_docs: int = 64, max_bytes: int = 64 << 20) -> DataFrame:
-    """path, n_bytes, lane, batch: greedy packing in path order. A batch is closed by its number of documents or by its
-    bytes, so packing is a fold over the rows before; it is done for each lane (a hash of path), which are many."""
-    lanes = 64
-
-    def pack(pdf):
-        pdf = pdf.sort_values("path")
-        number, n, size, out = 0, 0, 0, []
-        for b in pdf["n_bytes"]:
-            if n and (n == max_docs or size + b > max_bytes):
-                number, n, size = number + 1, 0, 0
-            n, size = n + 1, size + b
-            out.append(number)
-        return pdf.assign(batch=out)[["path", "n_bytes", "lane", "batch"]]
-
-    todo = todo.select("path", F.col("n_bytes").cast("long").alias("n_bytes"), F.pmod(F.xxhash64("path"), F.lit(lanes)).cast("int").alias("lane"))
-    return todo.groupBy("lane").applyInPandas(pack, "path string, n_bytes long, lane int, batch int")
+    """collection, path, n_bytes, batch: a collection's documents in path order, with a new batch where the documents so far
+    reach a multiple of max_docs or their bytes one of max_bytes. Running sums, so a collection is sorted and not held."""
+    w = W.partitionBy("collection").orderBy("path")
+    before = F.coalesce(F.sum(F.col("n_bytes").cast("long")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    n = F.row_number().over(w) - 1
+    return todo.select("collection", "path", F.col("n_bytes").cast("long").alias("n_bytes"), (F.floor(n / max_docs) + F.floor(before / max_bytes)).alias("batch"))
 
 
 def lru(cache: DataFrame, keep: int) -> DataFrame:

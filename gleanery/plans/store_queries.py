@@ -114,10 +114,10 @@ def path_removed(spark, sf):
     return store.removed(*snapshots(spark, sf))
 
 
-@query("embedding_batches")
+@query("embedding_batches", D + " SELECT collection, path, CAST(octet_length(encode(doc)) AS BIGINT) AS n_bytes, CAST((row_number() OVER w - 1) // 16 + coalesce(sum(octet_length(encode(doc))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 20000 AS BIGINT) AS batch FROM d WINDOW w AS (PARTITION BY collection ORDER BY path)")
 def embedding_batches(spark, sf):
     d = documents(spark, sf)
-    return store.batches(d.select("path", F.octet_length("doc").alias("n_bytes")), 16, 20_000)
+    return store.batches(d.select("collection", "path", F.octet_length("doc").alias("n_bytes")), 16, 20_000)
 
 
 @query("lru_prune", "SELECT event_id AS key, epoch_us(ts) AS created FROM events ORDER BY created DESC, key LIMIT 1000")

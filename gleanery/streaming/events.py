@@ -41,14 +41,15 @@ def guarded(events: DataFrame, guards: DataFrame, key: str, ttl: str = "5 second
     life = pd.Timedelta(ttl)
 
     def run(k, e, g):
+        if "ts" not in e or "ts" not in g:  # an empty side may come without columns
+            return e if "ts" in e else pd.DataFrame(columns=names)
         e, g = e.sort_values(["ts", "event_id"]), sorted(g["ts"].tolist())
-        out = []
+        out, at = [], 0
         for t in e["ts"]:
-            while g and g[0] + life < t:
-                g.pop(0)
-            hit = bool(g) and g[0] <= t
-            if hit:
-                g.pop(0)
+            while at < len(g) and g[at] + life < t:
+                at += 1
+            hit = at < len(g) and g[at] <= t
+            at += hit
             out.append(not hit)
         return e[out]
 

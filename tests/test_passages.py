@@ -41,6 +41,19 @@ def test_snippet():
     assert line == 3 and s.startswith("@@ -2,4 @@ (1 before, 1 after)\ntwo\n")
 
 
+def test_snippet_around_a_chunk():
+    body = "needle\n" + "x\n" * 200 + "other needle\n" + "\n" * 300 + "end"
+    assert P.snippet(body, ["needle"], at=380, length=40)[0] == 202
+    line, s = P.snippet(body, ["needle"], at=620, length=20)  # blank around there
+    assert line == 1 and s.startswith("@@ -1,3 @@ (0 before, ")
+    assert P.snippet("", ["a"]) == (1, "@@ -1,1 @@ (0 before, 0 after)\n")
+
+
+def test_cut_weighs_score_and_distance():
+    assert P.cut({10: 20, 90: 1}, [], 100, 100) == 10 and P.cut({10: 20, 90: 10}, [], 100, 100) == 90
+    assert P.cut({10: 20, 90: 100}, [(80, 95)], 100, 100) == 10 and P.cut({}, [], 100) == 100
+
+
 def test_sections():
     got = P.sections("intro text\n# One\nbody of one\n```\n# not a heading\n```\n## Contents\nabc\n#Tight\nlong enough body")
     assert [(s["level"], s["title"]) for s in got] == [(0, ""), (1, "One"), (1, "Tight")]
