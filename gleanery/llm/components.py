@@ -1,4 +1,8 @@
-"""Connected components of an edge table: contraction inside tasks, then alternating large-star and small-star steps."""
+"""Connected components of an edge table: contraction inside tasks, then alternating large-star and small-star steps.
+
+What contraction leaves of the edges is a forest of each task. As long as that is at most HELD edges (16 bytes each), one
+more contraction in one task, of that bounded size, ends it; beyond that bound, the star steps do, round by round.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import discard, tidy, written
 
-#: Edges that a task holds before it contracts them.
+#: Edges that a task holds before it contracts them, and the most that a single task may finish.
 HELD = 2_000_000
 
 
@@ -75,12 +79,16 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, root (the least node of its component) of the nodes of edges (a, b: long). Self-loops and repeated edges do
     not count; without edges there are no rows. Each round is written to the shared folder, which cuts lineage, and the
     round before is deleted; the number of rounds grows with the logarithm of the largest component."""
-    now = written(contracted(edges).distinct(), "edges")
-    for _ in range(most):
+    now = written(contracted(edges), "edges")
+    small = now.count() <= HELD
+    before, now = now, written(contracted(now.coalesce(1)) if small else now.distinct(), "edges")
+    discard(before)
+    for _ in range(0 if small else most):
         if _settled(now):
+            small = True
             break
         before, now = now, written(contracted(_stars(_stars(now, True), False)).distinct(), "edges")
         discard(before)
-    else:
+    if not small:
         raise RuntimeError("components did not settle")
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a"), F.col("a")).distinct())

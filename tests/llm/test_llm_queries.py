@@ -519,3 +519,21 @@ def test_url_columns_clash(spark):
     got = sorted(judge(pages, listed).collect(), key=lambda r: r.page_id)
     assert [r.verdict for r in got] == ["block"] * 3 and [r.listed for r in got] == [True, False, True]
     assert all([r["block"], r.w0, r.w3, r._key, r._host, r._canon, r._hit, r._salt, r._s, r.host_input, r.listed_input] == list(range(len(names))) for r in got)
+
+
+@pytest.mark.parametrize("held", [2_000_000, 50])
+def test_components(spark, held, monkeypatch):
+    """Chains, stars, loops and repeated edges, finished in one task and by star steps."""
+    from gleanery.llm import components as C
+
+    monkeypatch.setattr(C, "HELD", held)
+    rng = np.random.default_rng(8)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 80)] + [(7, 7), (9, 8), (8, 9)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1150, (60, 2))]
+    up = {x: x for e in edges for x in e}
+    for _ in up:
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {r.node: r.root for r in C.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: up[x] for x in linked}
+    assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
