@@ -168,10 +168,86 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.c AS component_id FRO
 """
 
 
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base figures and the verdict of the line-first rules; the digest is of the cleaned text."""
+    from gleanery.llm.line_rules import clean
+
+    out = clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cols = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept lost_chars".split()
+    return out.select(*cols, F.sha2("cleaned", 256).alias("cleaned_sha256"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _line_sql() -> str:
+    from gleanery.llm import line_rules as R
+
+    def count(t: str, chars: str) -> str:
+        return f"(length({t}) - length(translate({t}, {_quoted(chars)}, '')))"
+
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    marks, capitals = count("line", R.SYMBOLS + "!"), count("line", R.CAPITALS)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_quoted(R.WORD)}) AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 2]) AS c FROM p),
+r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM g, range(3) t(o) WHERE c > 1 GROUP BY doc_id),
+s AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM d),
+u AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM s),
+v AS (SELECT *, length(translate(line, {blanks}, '')) AS size FROM u),
+x AS (SELECT *, size > 0 AND (regexp_matches(line, {_quoted(R.BOILERPLATE)}) OR regexp_matches(line, {_quoted(R.NAVIGATION)}) OR regexp_matches(line, {_quoted(R.MENU)})
+  OR NOT regexp_matches(line, {_quoted(R.SENTENCE)}) OR ({marks} >= {R.LEAST_MARKS} AND 100 * {marks} > {R.MOST_MARKS} * size)
+  OR ({capitals} >= {R.LEAST_CAPITALS} AND 100 * {capitals} > {R.MOST_CAPITALS} * size)) AS fails FROM v),
+y AS (SELECT doc_id, sum(size) AS chars, sum(CASE WHEN fails THEN size ELSE 0 END) AS lost, count(*) FILTER (WHERE size > 0) - count(DISTINCT line) FILTER (WHERE size > 0) AS dup,
+  coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT fails), '') AS cleaned FROM x GROUP BY doc_id),
+z AS (SELECT d.doc_id, len(w) AS n_words, CAST(chars AS BIGINT) AS word_chars, {count("t", R.SYMBOLS)} AS n_symbols, dup AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(lost AS BIGINT) AS lost_chars, cleaned
+  FROM d JOIN y USING (doc_id) LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < {R.LEAST_WORDS} OR 100 * n_repeat_words > {R.MOST_REPEATED} * n_words AS base_failed FROM z)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost_chars <= {R.MOST_LOST} * word_chars AS kept,
+  lost_chars, sha256(cleaned) AS cleaned_sha256 FROM f
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every usable vector."""
+    from gleanery.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in all 120 orders, for each source."""
+    from gleanery.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+m AS (SELECT doc_id, part, concat(CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+  CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+  CASE WHEN doc_id > least THEN 'E' END) AS fails FROM w),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS x FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT o, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM o),
+p AS (SELECT part, o, step, o[step] AS f, n, g, x, fails, list_min(list_transform(list_filter(['A', 'B', 'C', 'D', 'E'], lambda k: contains(fails, k)), lambda k: instr(o, k))) AS pos FROM c, s),
+r AS (SELECT part, o, step, f, sum(CASE WHEN pos IS NULL OR pos > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN pos = step THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN pos < step AND contains(fails, f) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN pos = step THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN pos = step THEN x ELSE 0 END) AS toxic_lost FROM p GROUP BY ALL)
+SELECT part, o AS filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_token_store, op4_quality, op5_bm25_wand, op6_sentencepiece, op7_decontaminate, op8_toxicity, op9_chat_collapse, op10_jaccard_tree)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_token_store, op4_quality, op5_bm25_wand, op6_sentencepiece, op7_decontaminate, op8_toxicity, op9_chat_collapse, op10_jaccard_tree, op11_line_rules, op12_whitening, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": SQL_URL, "op5_bm25_wand": SQL_BM25, "op7_decontaminate": SQL_LEAKS, "op9_chat_collapse": SQL_CHAT, "op10_jaccard_tree": SQL_JACCARD}
+    return {"op2_url_filter": SQL_URL, "op5_bm25_wand": SQL_BM25, "op7_decontaminate": SQL_LEAKS, "op9_chat_collapse": SQL_CHAT, "op10_jaccard_tree": SQL_JACCARD, "op11_line_rules": _line_sql(), "op13_filter_audit": SQL_AUDIT}
 
