@@ -185,19 +185,19 @@ def _line_sql() -> str:
     from gleanery.llm import line_rules as R
 
     def count(t: str, chars: str) -> str:
-        return f"(length({t}) - length(translate({t}, {_quoted(chars)}, '')))"
+        return f"length(regexp_replace({t}, {_quoted(f'[^{chars}]')}, '', 'g'))"
 
-    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     marks, capitals = count("line", R.SYMBOLS + "!"), count("line", R.CAPITALS)
+    phrases = " OR ".join(f"contains(lower(line), {_quoted(p)})" for p in R.PHRASES)
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_quoted(R.WORD)}) AS w FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{R.WORD}+') AS w FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d),
-g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 2]) AS c FROM p),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM p),
 r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM g, range(3) t(o) WHERE c > 1 GROUP BY doc_id),
 s AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM d),
 u AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM s),
-v AS (SELECT *, length(translate(line, {blanks}, '')) AS size FROM u),
-x AS (SELECT *, size > 0 AND (regexp_matches(line, {_quoted(R.BOILERPLATE)}) OR regexp_matches(line, {_quoted(R.NAVIGATION)}) OR regexp_matches(line, {_quoted(R.MENU)})
+v AS (SELECT *, length(regexp_replace(line, '{R.BLANK}', '', 'g')) AS size FROM u),
+x AS (SELECT *, size > 0 AND ({phrases} OR {count("line", R.SEPARATORS)} >= {R.LEAST_SEPARATORS} OR regexp_matches(line, {_quoted(R.MENU)})
   OR NOT regexp_matches(line, {_quoted(R.SENTENCE)}) OR ({marks} >= {R.LEAST_MARKS} AND 100 * {marks} > {R.MOST_MARKS} * size)
   OR ({capitals} >= {R.LEAST_CAPITALS} AND 100 * {capitals} > {R.MOST_CAPITALS} * size)) AS fails FROM v),
 y AS (SELECT doc_id, sum(size) AS chars, sum(CASE WHEN fails THEN size ELSE 0 END) AS lost, count(*) FILTER (WHERE size > 0) - count(DISTINCT line) FILTER (WHERE size > 0) AS dup,
