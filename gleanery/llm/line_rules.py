@@ -39,7 +39,8 @@ TWO_CAPITALS = r"[A-Z][\x20\x09-\x0D]*[A-Z]"
 
 
 def let(value: Column, f) -> Column:
-    """f(value), in which value is computed once for each row, however often f uses it."""
+    """f(value), in which value is computed once for each row, however often f uses it. What the function of an array
+    uses besides its element goes through this: a plan may put a column's expression in its place, for each element."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
@@ -68,18 +69,18 @@ def words(text: Column) -> Column:
 
 def windows(w: Column) -> Column:
     """A 64-bit hash of each three words that follow each other; empty with fewer words."""
-    every = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    every = let(w, lambda a: F.transform(a, lambda x, i: F.xxhash64(x, F.get(a, i + 1), F.get(a, i + 2))))
     return F.slice(every, 1, F.greatest(F.size(w) - 2, F.lit(0)))
 
 
-def repeated_words(g: Column) -> Column:
-    """Words that lie in a window (g: hashes of all of them) which is found twice or more. Where a hash repeats, windows
+def repeated_words(hashes: Column) -> Column:
+    """Words that lie in a window (of these hashes) which is found twice or more. Where a hash repeats, windows
     are sorted with their positions; of those with an equal neighbour, each covers the words up to the next one's start."""
-    placed = F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+    placed = lambda g: F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
     same = lambda s: F.filter(s, lambda x, k: x.h.eqNullSafe(F.get(s, k + 1).h) | x.h.eqNullSafe(F.get(s, k - 1).h))
+    starts = lambda g: let(F.sort_array(placed(g)), lambda s: F.sort_array(F.transform(same(s), lambda x: x.i)))
     covered = lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    starts = let(F.sort_array(placed), lambda s: F.sort_array(F.transform(same(s), lambda x: x.i)))
-    return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(let(starts, covered)).cast("long")
+    return let(hashes, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(let(starts(g), covered))).cast("long")
 
 
 def in_phrases(text: Column) -> Column:

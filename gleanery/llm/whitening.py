@@ -148,9 +148,9 @@ def reduced(rows: DataFrame, centre: Centre) -> np.ndarray:
         r = triangle((centre.centred(codes(b.column(0), dim)) for b in batches), dim)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([packed(r)], pa.binary())], ["part", "r"])
 
-    def merge(key, groups):
-        r = triangle((unpacked(x, dim) for b in groups for x in b.column(1).to_pylist()), dim)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([packed(r)], pa.binary())], ["part", "r"])
+    def merge(key, group):  # at most FAN rows
+        r = triangle((unpacked(x, dim) for x in group.column("r").to_pylist()), dim)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "r": pa.array([packed(r)], pa.binary())})
 
     level = written(rows.mapInArrow(tidy(leaf), schema), "triangles")
     while (level.agg(F.max("part")).first()[0] or 0) >= FAN:
