@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.functions.stems import stems_sql
 from gleanery.operators import search, store
+from gleanery.operators.index import Index
+from gleanery.operators.lexquery import Unit
 from gleanery.sources.adapters import DOCUMENTS_SQL, EPOCH, documents, table
+from gleanery.sources.shared import shared_dir, stamp
 
 D = f"WITH d AS ({DOCUMENTS_SQL})"
 Q: dict = {}
@@ -153,8 +157,24 @@ def bm25_sql(tf: str, bad: str = "", tail: str = "") -> str:
 TF2 = "SELECT 0 AS unit, doc_id, sum(w) AS tf FROM p WHERE term = 'the' GROUP BY doc_id UNION ALL SELECT 1, doc_id, sum(w) FROM p WHERE starts_with(term, 'thou') GROUP BY doc_id"
 
 
+_INDEXES: dict[tuple, Index] = {}
+
+
+def kept_index(spark: SparkSession, sf_dir: str, analyser: str = "simple") -> Index:
+    """The index over documents: built by the first query of an application that needs it, and read by the others as long as
+    the table's files are the same."""
+    key = (spark.sparkContext.applicationId, sf_dir, analyser, stamp(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _INDEXES:
+        _INDEXES[key] = Index.build(documents(spark, sf_dir), shared_dir(spark, "index"), analyser=analyser)
+    return _INDEXES[key]
+
+
+def units_of(rows: list[tuple]) -> list[Unit]:
+    return [Unit(kind, tuple(words), negated) for _, kind, words, negated in rows]
+
+
 def scored(spark, sf, units):
-    return search.bm25(documents(spark, sf), spark.createDataFrame(units, SCHEMA)).select("doc_id", F.round("score", 6).alias("score"))
+    return kept_index(spark, sf).bm25(units_of(units)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_search", bm25_sql(TF2, "", "ORDER BY score DESC, doc_id LIMIT 10"))
@@ -179,6 +199,42 @@ def bm25_collection_overfetch(spark, sf):
     return search.top(hits.join(documents(spark, sf).where("collection = 'src1'").select("doc_id"), "doc_id", "left_semi"), 10)
 
 
+AFTER = " FROM documents WHERE doc_id % 11 <> 0"
+
+
+def changed_index(spark, sf) -> Index:
+    """An index over an earlier state of the documents, brought up to date: ids divisible by 7 come in, texts of ids with
+    remainder 1 by 5 had their first 200 characters only, ids divisible by 11 go."""
+    d = documents(spark, sf)
+    short = F.col("doc_id") % 5 == 1
+    old = d.where("doc_id % 7 <> 0").withColumn("doc", F.when(short, F.substring("doc", 1, 200)).otherwise(F.col("doc")))
+    op = F.when(F.col("doc_id") % 11 == 0, "delete").when(F.col("doc_id") % 7 == 0, "insert").when(short, "update")
+    return Index.build(old, shared_dir(spark, "index")).delta(d, d.select("doc_id", op.alias("op")).where("op IS NOT NULL"))
+
+
+@query("index_after_delta", bm25_sql(TF2).replace(" FROM documents", AFTER))
+def index_after_delta(spark, sf):
+    """A search of an index after a delta is one of an index built anew."""
+    return changed_index(spark, sf).bm25(units_of(UNITS)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("index_after_merge", SQL["lex_phrase_not_prefix"].replace(" FROM documents", AFTER))
+def index_after_merge(spark, sf):
+    """The same after its segments were merged, with a phrase and a negated word."""
+    return changed_index(spark, sf).merged().bm25(units_of(PHRASE)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+#: Inflected forms; their stems are found in other forms of the words too.
+STEMMED = [(0, "term", ["ening"], False), (1, "phrase", ["of", "ered"], False)]
+STEM_SQL = POST.replace(" p AS (", " raw AS (", 1).replace(", dl AS (", ", " + stems_sql("raw") + ", p AS (SELECT doc_id, field, w, pos, coalesce(stem, term) AS term FROM raw LEFT JOIN w7 USING (term)), dl AS (")
+
+
+@query("bm25_porter", bm25_sql("SELECT 0 AS unit, doc_id, sum(p.w) AS tf FROM p WHERE term IN (SELECT stem FROM q WHERE k = 0) GROUP BY doc_id UNION ALL SELECT 1, a.doc_id, sum(a.w) AS tf FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.field = b.field AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term IN (SELECT stem FROM q WHERE k = 1) GROUP BY a.doc_id").replace(POST, STEM_SQL + ", q AS (SELECT 0 AS k, stem FROM w7 WHERE term = 'ening' UNION ALL SELECT 1, stem FROM w7 WHERE term = 'ered')"))
+def bm25_porter(spark, sf):
+    """Search with stems: a kept index with the Porter analyser, and a query whose words are stemmed too."""
+    return kept_index(spark, sf, "porter").bm25(units_of(STEMMED)).select("doc_id", F.round("score", 6).alias("score"))
+
+
 COS = "round(1 - coalesce(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 0), 6)"
 ONE = "(SELECT embedding FROM embeddings WHERE vec_id = 0) q"
 
