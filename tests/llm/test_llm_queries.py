@@ -146,6 +146,52 @@ def test_similar_lines_against_brute_force(spark, hot, least, monkeypatch):
     assert all(len(v) == 1 for v in got.values())
 
 
+def rows_of_block(rng, n: int, keys: int, spread: int) -> np.ndarray:
+    from gleanery.llm.line_dedup import ROW
+
+    r = np.zeros(n, ROW)
+    r["key"] = np.sort(rng.integers(0, keys, n))
+    r["h"], r["lo"], r["hi"] = np.arange(n), 100, 100
+    for c in ("s1", "s2"):
+        r[c] = sum((np.uint64(1) << np.uint64(b)) * (rng.random(n) < spread / 64).astype(np.uint64) for b in range(64))
+    return r
+
+
+def test_all_candidates_of_other_groups(spark):
+    """Small and large blocks: each candidate pair of different groups comes once."""
+    from gleanery.llm.line_dedup import near, others
+
+    rng = np.random.default_rng(4)
+    for n, keys in ((300, 4), (300, 100), (2, 1), (1, 1), (0, 1)):
+        r, label = rows_of_block(rng, n, keys, 16), rng.integers(0, 3, n)
+        i, j = np.triu_indices(n, 1)
+        on = (r["key"][i] == r["key"][j]) & (label[i] != label[j])
+        i, j = i[on], j[on]
+        on = near(r, i, j)
+        got = [(min(p, q), max(p, q)) for x, y in others(r, label, most=500) for p, q in zip(x.tolist(), y.tolist(), strict=True)]
+        assert sorted(got) == sorted(zip(i[on].tolist(), j[on].tolist(), strict=True)) and (n < 300 or len(got) > 50)
+
+
+def test_nearer_lines_hide_no_similar_one(spark):
+    """A and C are similar, B and D nearer to them in bits and unlike all others: A and C are linked in every family."""
+    from gleanery.llm.edits import Lines
+    from gleanery.llm.line_dedup import ROW, linked
+
+    rng = np.random.default_rng(5)
+    r, text = np.zeros(160, ROW), []
+    for k in range(40):
+        a, b, d = ("".join(rng.choice(list("abcdefgh "), 100)) for _ in range(3))
+        text += [a, b, a[:90] + "zzzzzzzzzz", d]
+        far, own = rng.permutation(64)[:40], rng.permutation(64)[:12]
+        base = np.uint64(rng.integers(1 << 62))
+        flip = lambda x, bits: x ^ np.uint64(sum(1 << int(t) for t in bits))
+        c = flip(base, far)
+        for m, s1, s2 in ((0, base, 0), (1, flip(base, own), 0), (2, c, 0), (3, flip(c, own), 0)):
+            r[4 * k + m] = (k + 1, 4 * k + m, s1, s2, 100, 100) if ROW.names == ("key", "h", "s1", "s2", "lo", "hi") else r[4 * k + m]
+    one, two = linked(r, Lines(text))
+    assert {(min(p, q), max(p, q)) for p, q in zip(one.tolist(), two.tolist(), strict=True)} == {(4 * k, 4 * k + 2) for k in range(40)}
+
+
 def test_edited_lines_go(spark):
     """Copies of real lines with words replaced, inserted and left out, up to the limit of similarity, all go."""
     from gleanery.llm.edits import edit_similar
