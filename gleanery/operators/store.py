@@ -95,12 +95,11 @@ def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def batches(todo: DataFrame, max_docs: int = 64, max_bytes: int = 64 << 20) -> DataFrame:
-    """collection, path, n_bytes, batch: a collection's documents in path order, with a new batch where the documents so far
-    reach a multiple of max_docs or their bytes one of max_bytes. Running sums, so a collection is sorted and not held."""
-    w = W.partitionBy("collection").orderBy("path")
-    before = F.coalesce(F.sum(F.col("n_bytes").cast("long")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    n = F.row_number().over(w) - 1
-    return todo.select("collection", "path", F.col("n_bytes").cast("long").alias("n_bytes"), (F.floor(n / max_docs) + F.floor(before / max_bytes)).alias("batch"))
+    """collection, path, n_bytes, batch: a collection's documents in path order; a batch ends before the document that would
+    be one too many or take its bytes over the limit."""
+    from gleanery.operators.packing import packed
+
+    return packed(todo, "collection", "path", "n_bytes", max_docs, max_bytes)
 
 
 def lru(cache: DataFrame, keep: int) -> DataFrame:

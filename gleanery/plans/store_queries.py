@@ -118,7 +118,12 @@ def path_removed(spark, sf):
     return store.removed(*snapshots(spark, sf))
 
 
-@query("embedding_batches", D + " SELECT collection, path, CAST(octet_length(encode(doc)) AS BIGINT) AS n_bytes, CAST((row_number() OVER w - 1) // 16 + coalesce(sum(octet_length(encode(doc))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 20000 AS BIGINT) AS batch FROM d WINDOW w AS (PARTITION BY collection ORDER BY path)")
+@query("embedding_batches", D.replace("WITH", "WITH RECURSIVE") + """, o AS (SELECT collection, path, CAST(octet_length(encode(doc)) AS BIGINT) AS n_bytes, row_number() OVER (PARTITION BY collection ORDER BY path) AS i FROM d),
+f AS (SELECT collection, path, n_bytes, i, 0 AS batch, 1 AS docs, n_bytes AS bytes FROM o WHERE i = 1
+ UNION ALL SELECT o.collection, o.path, o.n_bytes, o.i, CASE WHEN f.docs >= 16 OR f.bytes + o.n_bytes > 20000 THEN f.batch + 1 ELSE f.batch END,
+ CASE WHEN f.docs >= 16 OR f.bytes + o.n_bytes > 20000 THEN 1 ELSE f.docs + 1 END, CASE WHEN f.docs >= 16 OR f.bytes + o.n_bytes > 20000 THEN o.n_bytes ELSE f.bytes + o.n_bytes END
+ FROM f JOIN o ON o.collection = f.collection AND o.i = f.i + 1)
+SELECT collection, path, n_bytes, CAST(batch AS BIGINT) AS batch FROM f""")
 def embedding_batches(spark, sf):
     d = documents(spark, sf)
     return store.batches(d.select("collection", "path", F.octet_length("doc").alias("n_bytes")), 16, 20_000)
