@@ -95,24 +95,12 @@ def merged_keys(base: DataFrame, more: DataFrame, key: list[str]) -> DataFrame:
     return base.unionByName(more.join(base.select(*key).distinct(), key, "left_anti"))
 
 
-def upserted(registry: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """registry in which rows replace those of their key or come in as new."""
-    return registry.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
-
-
-def renamed(registry: DataFrame, events: DataFrame) -> DataFrame:
-    """registry (id, path, history: array of earlier paths) after rename events (old, new, seq): the last event of an old
-    path counts, the old path goes to the history once."""
-    last = events.groupBy("old").agg(F.max_by("new", "seq").alias("_new"))
-    out = registry.join(last, F.col("path") == F.col("old"), "left")
-    moved = F.col("_new").isNotNull() & (F.col("_new") != F.col("path"))
-    history = F.when(moved, F.array_union("history", F.array("path"))).otherwise(F.col("history"))
-    return out.select("id", F.when(moved, F.col("_new")).otherwise(F.col("path")).alias("path"), history.alias("history"))
-
-
-def buried(registry: DataFrame, gone: DataFrame) -> DataFrame:
-    """registry (id, path) with tombstone: whether a delete event names its path; ids stay so that citations resolve."""
-    return existing(registry, gone, "path").withColumnRenamed("existed", "tombstone")
+def upserted(registry: DataFrame, rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """registry in which rows replace those of their key or come in as new; of several rows of one key the last in `order`
+    (a column of rows; without one the greatest row) stays."""
+    cols = registry.columns
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*([order] if order else []), *cols)).alias("_r")).select("_r.*")
+    return registry.join(last.select(key), key, "left_anti").unionByName(last)
 
 
 def protect(pending: Column, path: Column) -> Column:
@@ -130,16 +118,16 @@ def duplicate_places(places: Column, path: Column, canonical: Column) -> Column:
 
 
 def suggestion_states(events: DataFrame) -> DataFrame:
-    """id, state, n_rejected from events (id, seq, state): the last state; accepted and rejected are final, so the first of
-    these counts."""
-    final = F.col("state").isin("accepted", "rejected")
-    g = events.groupBy("id").agg(F.min_by(F.when(final, F.col("state")), F.when(final, F.col("seq"))).alias("_final"), F.max_by("state", "seq").alias("_last"), F.count_if(F.col("state") == "rejected").alias("n_rejected"))
-    return g.select("id", F.coalesce("_final", "_last").alias("state"), "n_rejected")
+    """id, state, n_rejected, barred from events (id, seq, state): each event replaces the state, so the last one counts; an id
+    that was ever rejected is barred for good, whatever came after."""
+    rejected = F.count_if(F.col("state") == "rejected")
+    return events.groupBy("id").agg(F.max_by("state", F.struct("seq", "state")).alias("state"), rejected.alias("n_rejected"), (rejected > 0).alias("barred"))
 
 
 def may_propose(items: DataFrame, states: DataFrame) -> DataFrame:
-    """items (id) with propose: false where the suggestion was accepted or rejected."""
-    return items.join(states.select("id", "state"), "id", "left").withColumn("propose", ~F.coalesce(F.col("state").isin("accepted", "rejected"), F.lit(False))).drop("state")
+    """items (id) with propose: false where the suggestion is barred or accepted."""
+    no = F.coalesce(F.col("barred") | (F.col("state") == "accepted"), F.lit(False))
+    return items.join(states.select("id", "state", "barred"), "id", "left").withColumn("propose", ~no).drop("state", "barred")
 
 
 def alive(cache: DataFrame, sources: DataFrame, now: int, days: int = 30) -> DataFrame:

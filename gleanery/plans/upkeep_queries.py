@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.operators import answers, upkeep
+from gleanery.operators import answers, moves, upkeep
 from gleanery.sources.adapters import DOCUMENTS_SQL, documents, table
 
 D = f"WITH d AS ({DOCUMENTS_SQL})"
@@ -103,28 +103,52 @@ def ingest_history(spark, sf):
     return upkeep.appended(e.where("event_id % 3 = 0").select("user_id", "event_type").distinct(), e.where("event_id % 3 = 1").select("user_id", "event_type"), ["user_id", "event_type"])
 
 
-@query("registry_upsert", D + " SELECT path, CASE WHEN doc_id % 7 = 2 THEN sha256(hash) ELSE hash END AS hash FROM d WHERE active OR doc_id % 7 = 2")
+@query("registry_upsert", D + """, n AS (SELECT path, hash, doc_id % 3 AS k FROM d WHERE doc_id % 7 = 2 UNION ALL SELECT path, sha256(hash), 2 FROM d WHERE doc_id % 7 = 2),
+l AS (SELECT path, hash FROM n QUALIFY row_number() OVER (PARTITION BY path ORDER BY k DESC, hash DESC) = 1)
+SELECT path, hash FROM l UNION ALL SELECT path, hash FROM d WHERE active AND path NOT IN (SELECT path FROM l)""")
 def registry_upsert(spark, sf):
+    """Two new rows of each path: the later one stays, the greater one of equal times."""
     d = documents(spark, sf)
-    new = d.where("doc_id % 7 = 2").select("path", F.sha2("hash", 256).alias("hash"))
-    return upkeep.upserted(d.where("active").select("path", "hash"), new, "path")
+    seven = d.where("doc_id % 7 = 2")
+    new = seven.select("path", "hash", (F.col("doc_id") % 3).alias("at")).union(seven.select("path", F.sha2("hash", 256), F.lit(2)))
+    return upkeep.upserted(d.where("active").select("path", "hash"), new, "path", "at")
 
 
-@query("rename_events", D + """, v AS (SELECT path AS old, max_by(new, seq) AS new FROM (SELECT d.path, 'moved/' || event_id || '.md' AS new, event_id AS seq FROM events JOIN d ON d.doc_id = user_id WHERE event_type = 'click') GROUP BY path)
-SELECT doc_id AS id, coalesce(new, path) AS path, CASE WHEN new IS NULL THEN 0 ELSE 1 END AS n_before FROM d LEFT JOIN v ON v.old = d.path""")
+MOVES = """WITH RECURSIVE r AS (SELECT doc_id AS id, 'box/' || (doc_id % 40) || '/0' AS path FROM documents WHERE doc_id < 150),
+e AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'rename' END AS kind, 'box/' || (user_id % 40) || '/' || (event_id % 4) AS old, 'box/' || (user_id % 40 + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END) || '/' || (event_id // 4 % 5) AS new FROM events),
+c AS (SELECT id, path, -1 AS seq FROM r UNION SELECT c.id, e.new, e.seq FROM c JOIN e ON e.old = c.path AND e.seq > c.seq WHERE e.kind = 'rename'),
+f AS (SELECT id, path, min(seq) AS seq FROM c GROUP BY id, path),
+o AS (SELECT e.seq, e.kind, e.new, min(f.id) AS id FROM e JOIN f ON f.path = e.old AND f.seq < e.seq GROUP BY ALL)"""
+
+
+def moved(spark, sf):
+    """A registry of 150 records in 40 boxes, and events that move and delete them, now and then to another box."""
+    d, e = table(spark, sf, "documents"), table(spark, sf, "events")
+    box = lambda n, k: F.concat(F.lit("box/"), n.cast("string"), F.lit("/"), k.cast("string"))
+    none = F.array().cast("array<string>")
+    registry = d.where("doc_id < 150").select(F.col("doc_id").alias("id"), box(F.col("doc_id") % 40, F.lit(0)).alias("path"), none.alias("history"), F.lit(False).alias("tombstone"))
+    k, user = F.col("event_id"), F.col("user_id") % 40
+    to = box(user + F.when(k % 97 == 0, 1).otherwise(0), F.expr("event_id div 4 % 5"))
+    return registry, e.select(k.alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("rename").alias("kind"), box(user, k % 4).alias("old"), to.alias("new"))
+
+
+@query("rename_events", MOVES + """, g AS (SELECT id, max_by(new, seq) AS new, count(*) AS n FROM o WHERE kind = 'rename' GROUP BY id)
+SELECT r.id, coalesce(g.new, r.path) AS path, CAST(CASE WHEN g.n IS NULL THEN 0 ELSE g.n + 1 END AS INTEGER) AS n_history FROM r LEFT JOIN g USING (id)""")
 def rename_events(spark, sf):
-    d = documents(spark, sf)
-    e = table(spark, sf, "events").where("event_type = 'click'").join(d.select(F.col("doc_id").alias("user_id"), F.col("path").alias("old")), "user_id")
-    e = e.select("old", F.concat(F.lit("moved/"), "event_id", F.lit(".md")).alias("new"), F.col("event_id").alias("seq"))
-    out = upkeep.renamed(d.select(F.col("doc_id").alias("id"), "path", F.array().cast("array<string>").alias("history")), e)
-    return out.select("id", "path", F.size("history").alias("n_before"))
+    """Chains of renames in their order: where each record is at last, and how many paths it had."""
+    return moves.replayed(*moved(spark, sf)).select("id", "path", F.size("history").alias("n_history"))
 
 
-@query("delete_events", D + " SELECT doc_id AS id, path, doc_id IN (SELECT user_id FROM events WHERE event_type = 'error') AS tombstone FROM d")
+@query("delete_events", MOVES + ", g AS (SELECT id, max_by(kind, seq) = 'delete' AS gone FROM o GROUP BY id) SELECT r.id, coalesce(gone, false) AS tombstone FROM r LEFT JOIN g USING (id)")
 def delete_events(spark, sf):
-    d = documents(spark, sf).select(F.col("doc_id").alias("id"), "path")
-    gone = table(spark, sf, "events").where("event_type = 'error'").select(F.col("user_id").alias("id")).join(d, "id").select("path")
-    return upkeep.buried(d, gone)
+    """Deletes set a tombstone, a later rename of the same record takes it back."""
+    return moves.replayed(*moved(spark, sf)).select("id", "tombstone")
+
+
+@query("event_owners", MOVES + " SELECT seq, kind, id FROM o")
+def event_owners(spark, sf):
+    """Which record each event belongs to."""
+    return moves.owned(*moved(spark, sf)).select("k.seq", "k.kind", F.col("owner").alias("id"))
 
 
 @query("bypass_alerts", """WITH t AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -151,7 +175,7 @@ def duplicate_places(spark, sf):
 
 
 STATES = """WITH e AS (SELECT user_id AS id, event_id AS seq, CASE event_type WHEN 'click' THEN 'accepted' WHEN 'error' THEN 'rejected' ELSE 'pending' END AS state FROM events),
-s AS (SELECT id, coalesce(min_by(state, seq) FILTER (state <> 'pending'), max_by(state, seq)) AS state, count(*) FILTER (state = 'rejected') AS n_rejected FROM e GROUP BY id)"""
+s AS (SELECT id, max_by(state, seq) AS state, count(*) FILTER (state = 'rejected') AS n_rejected, count(*) FILTER (state = 'rejected') > 0 AS barred FROM e GROUP BY id)"""
 
 
 def states(spark, sf):
@@ -159,12 +183,12 @@ def states(spark, sf):
     return upkeep.suggestion_states(table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), state.alias("state")))
 
 
-@query("suggestion_states", STATES + " SELECT id, state, n_rejected FROM s")
+@query("suggestion_states", STATES + " SELECT id, state, n_rejected, barred FROM s")
 def suggestion_states(spark, sf):
     return states(spark, sf)
 
 
-@query("proposal_gate", STATES + " SELECT c_custkey AS id, coalesce(state, 'pending') = 'pending' AS propose FROM customer LEFT JOIN s ON s.id = c_custkey")
+@query("proposal_gate", STATES + " SELECT c_custkey AS id, NOT coalesce(barred OR state = 'accepted', false) AS propose FROM customer LEFT JOIN s ON s.id = c_custkey")
 def proposal_gate(spark, sf):
     return upkeep.may_propose(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), states(spark, sf))
 

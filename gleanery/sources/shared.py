@@ -29,3 +29,10 @@ def stamp(spark: SparkSession, path: str) -> tuple[int, int, int]:
         f = files.next()
         n, size, newest = n + 1, size + f.getLen(), max(newest, f.getModificationTime())
     return n, size, newest
+
+
+def written(df, tag: str):
+    """df as a Parquet table in the shared folder, so that what follows does not compute it again."""
+    path = shared_dir(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

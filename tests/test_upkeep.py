@@ -40,11 +40,13 @@ def test_states_and_renames(spark):
     docs = spark.createDataFrame([("a", "x"), ("b", "y")], "collection string, path string")
     with pytest.raises(ValueError, match="exists"):
         upkeep.rename_collection(docs, "a", "b")
-    reg = spark.createDataFrame([(1, "p", ["q"]), (2, "r", [])], "id int, path string, history array<string>")
-    ev = spark.createDataFrame([("p", "s", 1), ("p", "t", 2), ("none", "u", 3)], "old string, new string, seq int")
-    assert {r.id: (r.path, r.history) for r in upkeep.renamed(reg, ev).collect()} == {1: ("t", ["q", "p"]), 2: ("r", [])}
-    st = spark.createDataFrame([(1, 1, "pending"), (1, 2, "accepted"), (1, 3, "rejected"), (2, 1, "rejected"), (2, 2, "rejected"), (3, 1, "pending")], "id int, seq int, state string")
-    assert {r.id: (r.state, r.n_rejected) for r in upkeep.suggestion_states(st).collect()} == {1: ("accepted", 1), 2: ("rejected", 2), 3: ("pending", 0)}
+    reg = spark.createDataFrame([("p", 1), ("q", 2)], "path string, v int")
+    new = spark.createDataFrame([("q", 5, 1), ("q", 4, 2), ("r", 7, 1), ("r", 9, 1)], "path string, v int, at int")
+    assert sorted(tuple(r) for r in upkeep.upserted(reg, new, "path", "at").collect()) == [("p", 1), ("q", 4), ("r", 9)]
+    st = spark.createDataFrame([(1, 1, "pending"), (1, 2, "accepted"), (1, 3, "rejected"), (2, 1, "rejected"), (2, 2, "rejected"), (3, 1, "pending"), (4, 1, "rejected"), (4, 2, "accepted")], "id int, seq int, state string")
+    assert {r.id: (r.state, r.n_rejected, r.barred) for r in upkeep.suggestion_states(st).collect()} == {1: ("rejected", 1, True), 2: ("rejected", 2, True), 3: ("pending", 0, False), 4: ("accepted", 1, True)}
+    items = spark.createDataFrame([(k,) for k in (1, 3, 4, 5)], "id int")
+    assert {r.id: r.propose for r in upkeep.may_propose(items, upkeep.suggestion_states(st)).collect()} == {1: False, 3: True, 4: False, 5: True}
     stores = spark.createDataFrame([("a", {"x": "1"}), ("b", None)], "collection string, context map<string,string>")
     assert [r.context for r in upkeep.drop_context(stores, F.lit("x")).orderBy("collection").collect()] == [None, None]
     assert answers.fetch_size(10) == 50 and answers.fetch_size(100) == 200 and answers.fetch_size(1, True) == 100_000
