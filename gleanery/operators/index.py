@@ -211,6 +211,30 @@ class Index:
         return out.select("doc_id", (-F.col("s")).alias("raw"), (F.col("s") / (1 + F.col("s"))).alias("score"))
 
 
+def many(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank (from 1), doc_id, score: the k best documents for each of many queries (query_id, words: array of
+    terms), all of which a document must have. Queries meet the postings by term, so one pass serves all of them."""
+    from pyspark.sql import Window as W
+
+    from gleanery.operators.containing import small
+    from gleanery.sources.shared import written
+
+    words = queries.select("query_id", F.array_distinct("words").alias("words")).select("query_id", F.size("words").alias("need"), F.explode("words").alias("term"))
+    words = written(words.withColumn("bucket", bucket(F.col("term"))), "query-terms")
+    asked = small(written(words.select("bucket", "term").distinct(), "asked-terms"))
+    weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, w in FIELD_WEIGHTS.items()], F.lit(1.0))
+    tf = index._postings().join(asked, ["bucket", "term"]).groupBy("term", "doc_id", "segment").agg(F.sum(F.size("positions") * weight).alias("tf"))
+    tf = written(tf.join(index.live(), ["doc_id", "segment"]).select("term", "doc_id", "tf", "dl"), "matches")
+    n, mean = F.lit(index.n), index.total / max(1, index.n)
+    idf = F.log((n - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    weights = tf.groupBy("term").agg(F.count("*").alias("n")).select("term", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
+    hits = words.join(weights, "term").join(tf, "term").groupBy("query_id", "doc_id", "need").agg(F.sum(part).alias("s"), F.count("*").alias("c")).where("c = need")
+    hits = hits.select("query_id", "doc_id", (F.col("s") / (1 + F.col("s"))).alias("score"))
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+
 def shifted(positions: str, by: int) -> Column:
     return F.transform(positions, lambda x: x - by)
 

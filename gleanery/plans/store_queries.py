@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.stems import stems_sql
-from gleanery.operators import search, store
+from gleanery.operators import containing, index, search, store
 from gleanery.operators.index import Index
 from gleanery.operators.lexquery import Unit
 from gleanery.sources.adapters import DOCUMENTS_SQL, EPOCH, documents, table
@@ -337,16 +337,44 @@ def best_chunk_fixed(spark, sf):
     return search.best_chunk(c, ["thou", "with"], ["from"]).select("doc_id", "seq", "overlap")
 
 
-@query("retrieval_metrics", """WITH e AS (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
- r AS (SELECT item_id AS query_id, doc_id, (doc_id - item_id) AS rank FROM benchmark JOIN documents ON doc_id > item_id AND doc_id <= item_id + 10),
- m AS (SELECT e.query_id, count(*) AS n, count(r.rank) AS hits, min(r.rank) AS best FROM e LEFT JOIN r ON r.query_id = e.query_id AND r.doc_id = e.doc_id GROUP BY 1),
- p AS (SELECT *, hits / least(10, n) AS p, hits / n AS rec FROM m)
- SELECT query_id, round(p, 6) AS precision_at_k, round(rec, 6) AS recall, round(coalesce(1 / best, 0), 6) AS mrr, round(CASE WHEN p + rec > 0 THEN 2 * p * rec / (p + rec) ELSE 0 END, 6) AS f1, hits AS hits_at_k FROM p""")
+#: Words 3 to 7 of each benchmark passage are its query.
+ASK = f"SELECT item_id AS query_id, list_distinct(({TERMS % 'text'})[3:7]) AS words FROM benchmark"
+
+
+@query("search_many", POST + f""", q AS ({ASK}), w AS (SELECT query_id, len(words) AS need, unnest(words) AS term FROM q), m AS (SELECT term, doc_id, sum(w) AS tf FROM p WHERE term IN (SELECT term FROM w) GROUP BY ALL),
+f AS (SELECT term, count(*) AS c FROM m GROUP BY term), x AS (SELECT query_id, doc_id, need, count(*) AS k, sum(CASE WHEN ln((n.n - c + 0.5) / (c + 0.5)) <= 0 THEN 1e-6 ELSE ln((n.n - c + 0.5) / (c + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s
+ FROM w JOIN m USING (term) JOIN f USING (term) JOIN dl USING (doc_id), n GROUP BY ALL),
+h AS (SELECT query_id, doc_id, round(s / (1 + s), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s / (1 + s), 6) DESC, doc_id) AS rank FROM x WHERE k = need)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM h WHERE rank <= 10""")
+def search_many(spark, sf):
+    """One pass of the kept index for a table of queries."""
+    return index.many(kept_index(spark, sf), asked(spark, sf), 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def asked(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(search.terms(F.col("text")), 3, 5).alias("words"))
+
+
+def passages_in(spark, sf) -> DataFrame:
+    """text_id, pattern_id: documents and the benchmark passages that they contain."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return containing.containing(d, b, containing.all_words, containing.inner_words)
+
+
+@query("passages_contained", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def passages_contained(spark, sf):
+    return passages_in(spark, sf).select(F.col("text_id").alias("doc_id"), F.col("pattern_id").alias("item_id"))
+
+
+@query("retrieval_metrics", SQL["search_many"].split("SELECT query_id, CAST(rank")[0] + """, e AS (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+ mm AS (SELECT e.query_id, count(*) AS n, count(h.rank) AS hits, min(h.rank) AS best FROM e LEFT JOIN h ON h.query_id = e.query_id AND h.doc_id = e.doc_id AND h.rank <= 10 GROUP BY 1),
+ pr AS (SELECT *, hits / least(10, n) AS p, hits / n AS rec FROM mm)
+ SELECT query_id, round(p, 6) AS precision_at_k, round(rec, 6) AS recall, round(coalesce(1 / best, 0), 6) AS mrr, round(CASE WHEN p + rec > 0 THEN 2 * p * rec / (p + rec) ELSE 0 END, 6) AS f1, hits AS hits_at_k FROM pr""")
 def retrieval_metrics(spark, sf):
-    """Documents that contain a passage are expected; results are the ten ids after the item's."""
-    b, d = table(spark, sf, "benchmark"), documents(spark, sf)
+    """Documents that contain a passage are expected for the query of some of its words; results are a search's."""
     name = F.format_string("doc-%08d.md", "doc_id")
-    expected = d.join(F.broadcast(b.withColumnRenamed("text", "t")), F.contains("doc", F.col("t"))).select(F.col("item_id").alias("query_id"), name.alias("file")).distinct()
-    results = d.join(F.broadcast(b.select("item_id")), (F.col("doc_id") > F.col("item_id")) & (F.col("doc_id") <= F.col("item_id") + 10)).select(F.col("item_id").alias("query_id"), (F.col("doc_id") - F.col("item_id")).alias("rank"), F.concat(F.lit("notes/"), name).alias("file"))
+    expected = passages_in(spark, sf).select(F.col("pattern_id").alias("query_id"), F.col("text_id").alias("doc_id")).distinct().select("query_id", name.alias("file"))
+    results = index.many(kept_index(spark, sf), asked(spark, sf), 10).select("query_id", "rank", F.concat(F.lit("notes/"), name).alias("file"))
     m = search.retrieval_metrics(results, expected, 10)
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision_at_k", "recall", "mrr", "f1")], "hits_at_k")

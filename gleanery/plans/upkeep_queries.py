@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.operators import answers, moves, upkeep
+from gleanery.operators import answers, containing, moves, upkeep
 from gleanery.sources.adapters import DOCUMENTS_SQL, documents, table
 
 D = f"WITH d AS ({DOCUMENTS_SQL})"
@@ -367,3 +367,15 @@ def dataset_stats(spark, sf):
 @query("local_dates", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def local_dates(spark, sf):
     return table(spark, sf, "events").select("event_id", F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd").alias("day"))
+
+
+@query("audit_match", """WITH f AS (SELECT p_partkey, replace(p_name, ' ', '-') AS name FROM part), k AS (SELECT 'source-' || CASE WHEN p_partkey % 9 = 0 THEN replace(p_name, ' ', '-') WHEN p_partkey % 9 = 3 THEN split_part(p_name, ' ', 2) || '-' || p_partkey % 5 ELSE replace(p_name, ' ', '-') || '-notes' END AS key FROM part WHERE p_partkey % 9 IN (0, 3, 6)),
+c AS (SELECT key, replace(key, 'source-', '') AS core FROM k)
+SELECT p_partkey, EXISTS (SELECT 1 FROM c WHERE key = 'source-' || name OR (length(core) > 3 AND length(name) > 3 AND (contains(name, core) OR contains(core, name)))) AS ingested FROM f""")
+def audit_match(spark, sf):
+    """Files whose name is a page's key, or contains it or is contained."""
+    p = table(spark, sf, "part")
+    name, k = F.replace("p_name", F.lit(" "), F.lit("-")), F.col("p_partkey") % 9
+    key = F.when(k == 0, name).when(k == 3, F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("-"), (F.col("p_partkey") % 5).cast("string"))).otherwise(F.concat(name, F.lit("-notes")))
+    pages = p.where(k.isin(0, 3, 6)).select(F.concat(F.lit("source-"), key).alias("key"))
+    return containing.audited(p.select("p_partkey", name.alias("name")), pages).select("p_partkey", "ingested")
