@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.plans import knowledge_queries, store_queries, upkeep_queries
+from gleanery.plans import context_queries, knowledge_queries, store_queries, upkeep_queries
 
-PARTS = [store_queries, knowledge_queries, upkeep_queries]
+PARTS = [store_queries, knowledge_queries, upkeep_queries, context_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,11 +267,6 @@ def folder_pick(spark, sf):
     return got.select("base", F.concat(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/"), F.split_part("path", F.lit("/"), F.lit(2)).cast("long").cast("string")).alias("path"))
 
 
-@query("peer_context", "SELECT conv_id, turn, lag(role) OVER w AS prev, lead(role) OVER w AS next, substring(string_agg(role, ' > ') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 1, 20) AS overview FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
-def peer_context(spark, sf):
-    return answers.peers(table(spark, sf, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role", 20).select("conv_id", "turn", "prev", "next", "overview")
-
-
 @query("global_repeaters", r"""WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(upper(text), '[\s,.;:()\[\]{}]+')) AS token FROM documents), n AS (SELECT doc_id, token, count(*) AS n FROM t WHERE regexp_full_match(token, '[A-Z][A-Z0-9]{1,5}') GROUP BY ALL HAVING n >= 3),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS INTEGER) AS rank FROM n) SELECT * FROM r WHERE rank <= 10""")
 def global_repeaters(spark, sf):
