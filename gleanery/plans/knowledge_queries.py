@@ -506,7 +506,9 @@ def startup_grace(spark, sf):
     return E.grace(e, "2024-01-05 00:00:00").agg(F.count("*").alias("n"))
 
 
-@query("ttl_guard")
+@query("ttl_guard", """WITH r AS (SELECT user_id, ts, event_id, event_type <> 'click' AS is_event FROM events),
+w AS (SELECT *, lag(is_event) OVER k AS before, lag(ts) OVER k AS ago FROM r WINDOW k AS (PARTITION BY user_id ORDER BY ts, is_event, CASE WHEN is_event THEN event_id END))
+SELECT user_id, ts, event_id FROM w WHERE is_event AND NOT coalesce(NOT before AND ago + INTERVAL 1 HOUR >= ts, false)""")
 def ttl_guard(spark, sf):
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return E.guarded(e.where("event_type <> 'click'").select("user_id", "ts", "event_id"), e.where("event_type = 'click'").select("user_id", "ts"), "user_id", "1 hour")

@@ -7,6 +7,7 @@ rows later than it are dropped, which batches do not do.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -33,61 +34,51 @@ def grace(events: DataFrame, start: str, seconds: int = 10) -> DataFrame:
 
 
 def guarded(events: DataFrame, guards: DataFrame, key: str, ttl: str = "5 seconds") -> DataFrame:
-    """Events of batches that no guard of their key covers. Each guard is used up by the first event within its life
-    span; an event uses the earliest guard that is left, so both are numbered by time and matched in order.
-    """
-    import pandas as pd
-
-    life = pd.Timedelta(ttl)
-
-    def run(k, e, g):
-        if "ts" not in e or "ts" not in g:  # an empty side may come without columns
-            return e if "ts" in e else pd.DataFrame(columns=names)
-        e, g = e.sort_values(["ts", "event_id"]), sorted(g["ts"].tolist())
-        out, at = [], 0
-        for t in e["ts"]:
-            while at < len(g) and g[at] + life < t:
-                at += 1
-            hit = at < len(g) and g[at] <= t
-            at += hit
-            out.append(not hit)
-        return e[out]
-
-    names = [key, "ts", "event_id"]
-    schema = ", ".join(f"{c} {dict(events.dtypes)[c]}" for c in names)
-    return events.select(names).groupBy(key).cogroup(guards.select(key, "ts").groupBy(key)).applyInPandas(run, schema)
+    """key, ts, event_id of the events that no guard takes. A guard stands for its key until `ttl` has passed, a later guard
+    takes its place, or an event comes, which it takes. So an event is taken if the row before it in its key's order of time
+    (guards before events of one moment) is a guard that still stands.
+
+    Rows of a key are looked at in spans of `ttl`, each with the span before it, so a key with very many rows is no single
+    task's work."""
+    micros = F.expr(f"unix_micros(timestamp '1970-01-01 00:00:00' + INTERVAL {ttl}) - unix_micros(timestamp '1970-01-01 00:00:00')")
+    life = max(1, events.sparkSession.sql("SELECT 1").select(micros).first()[0])
+    e = events.select(key, "ts", "event_id", F.lit(1).alias("_event"))
+    rows = e.unionByName(guards.select(key, "ts", F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"), F.lit(0).alias("_event")))
+    rows = rows.withColumn("_at", F.unix_micros("ts"))
+    spans = F.explode(F.array(F.struct(F.floor(F.col("_at") / life).alias("span"), F.lit(True).alias("own")), F.struct((F.floor(F.col("_at") / life) + 1).alias("span"), F.lit(False).alias("own"))))
+    rows = rows.select("*", spans.alias("_s"))
+    w = W.partitionBy(key, "_s.span").orderBy("_at", "_event", "event_id")
+    taken = (F.lag("_event").over(w) == 0) & (F.lag("_at").over(w) + life >= F.col("_at"))
+    rows = rows.withColumn("_taken", F.coalesce(taken, F.lit(False)))
+    return rows.where("_event = 1 AND _s.own AND NOT _taken").select(key, "ts", "event_id")
 
 
 def guard_stream(events: DataFrame, key: str = "path", ttl_ms: int = 5000) -> DataFrame:
-    """The same on a stream of (key, ts, kind: guard or event, event_id): state for each key holds the guards that are
-    left, oldest first, and is dropped when the last has expired."""
+    """The same on a stream of (key, ts, kind: guard or event, event_id). A key's state is the time of the guard that stands,
+    if one does, and goes when its time is over."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(k, frames, state: GroupState):
-        left = list(state.get[0]) if state.exists else []
         if state.hasTimedOut:
             state.remove()
             return
-        out = []
-        for f in frames:
-            for t, kind, i in f.sort_values(["ts", "event_id"])[["ts", "kind", "event_id"]].itertuples(index=False):
-                ms = int(t.value // 1_000_000)
-                left = [x for x in left if x + ttl_ms >= ms]
-                if kind == "guard":
-                    left.append(ms)
-                elif left:
-                    left.pop(0)
-                else:
-                    out.append((k[0], t, i))
-        if left:
-            state.update((left,))
-            state.setTimeoutTimestamp(max(left) + ttl_ms + max(1, state.getCurrentWatermarkMs() - max(left)))
+        rows = pd.concat([pd.DataFrame({"ts": pd.to_datetime([state.get[0] if state.exists else 0], unit="ms"), "kind": ["guard" if state.exists else "none"], "event_id": [-1]}), *[f[["ts", "kind", "event_id"]] for f in frames]], ignore_index=True)
+        head, rest = rows.iloc[:1], rows.iloc[1:].assign(order=lambda d: d["kind"] != "guard").sort_values(["ts", "order", "event_id"], kind="stable")
+        rows = pd.concat([head, rest], ignore_index=True)
+        before = rows.shift(1)
+        taken = (before["kind"] == "guard") & (before["ts"] + pd.Timedelta(ttl_ms, "ms") >= rows["ts"])
+        last = rows.iloc[-1]
+        ms = int(last["ts"].value // 1_000_000)
+        if last["kind"] == "guard":
+            state.update((ms,))
+            state.setTimeoutTimestamp(ms + ttl_ms + max(1, state.getCurrentWatermarkMs() - ms))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=[key, "ts", "event_id"])
+        out = rows[(rows["kind"] == "event") & ~taken]
+        yield pd.DataFrame({key: k[0], "ts": out["ts"], "event_id": out["event_id"].astype("int64")})
 
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} string, ts timestamp, event_id long", "guards array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} string, ts timestamp, event_id long", "guard long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def freshness(docs: DataFrame, stamp: int | None) -> DataFrame:

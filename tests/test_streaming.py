@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,13 +24,42 @@ def test_sessions_stream(spark, tmp_path):
     assert spark.table("s").exceptAll(want).count() == 0 and spark.table("s").count() == want.count()
 
 
+def sequential(rows, ttl):
+    """One guard a key; a later one replaces it, the first event takes it."""
+    standing, out = {}, set()
+    for ms, event, path, i in sorted(rows, key=lambda r: (r[0], r[1], r[3])):
+        if not event:
+            standing[path] = ms
+        elif standing.pop(path, -(1 << 40)) + ttl < ms:
+            out.add(i)
+    return out
+
+
+def guard_rows(seed=5):
+    rng = np.random.default_rng(seed)
+    return [(int(rng.integers(0, 60_000)), bool(rng.random() < 0.6), str(rng.choice(list("abbbbb"))), k) for k in range(300)]
+
+
 def test_guards(spark):
-    t = lambda s: F.timestamp_seconds(F.lit(s))
-    ev = spark.createDataFrame([("a", 1, 11), ("a", 2, 12), ("b", 3, 30), ("c", 4, 5)], "path string, event_id long, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
-    gu = spark.createDataFrame([("a", 10), ("b", 20)], "path string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
-    got = {r.event_id for r in E.guarded(ev, gu, "path").collect()}
-    assert got == {2, 3, 4}  # 1 used a's guard, b's had expired
-    assert t is not None
+    rows = [(10_000, False, "a", 0), (11_000, True, "a", 1), (12_000, True, "a", 2), (20_000, False, "b", 0), (30_000, True, "b", 3), (5_000, True, "c", 4), (7_000, False, "d", 0), (12_000, True, "d", 5)]
+    assert sequential(rows, 5000) == {2, 3, 4}
+    for r in (rows, guard_rows()):
+        df = spark.createDataFrame(r, "ms long, event boolean, path string, event_id long").withColumn("ts", F.timestamp_millis("ms"))
+        got = [x.event_id for x in E.guarded(df.where("event"), df.where("NOT event"), "path").collect()]
+        assert len(got) == len(set(got)) and set(got) == sequential(r, 5000)
+
+
+def test_guard_stream(spark, tmp_path):
+    rows = sorted(guard_rows(6))
+    for k in range(3):
+        part = spark.createDataFrame(rows[100 * k : 100 * k + 100], "ms long, event boolean, path string, event_id long")
+        part.select("path", F.timestamp_millis("ms").alias("ts"), F.when(F.col("event"), "event").otherwise("guard").alias("kind"), "event_id").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("path string, ts timestamp, kind string, event_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = E.guard_stream(stream.withWatermark("ts", "1 minute"))
+    q = out.writeStream.format("memory").queryName("guards").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [r.event_id for r in spark.table("guards").collect()]
+    assert len(got) == len(set(got)) and set(got) == sequential(rows, 5000)
 
 
 def test_engine(spark):
