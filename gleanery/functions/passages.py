@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from gleanery.functions.code import code_breaks
+
 # Break points: pattern and score (fixed values).
 BREAKS = [
     (r"\n#(?!#)", 100), (r"\n##(?!#)", 90), (r"\n###(?!#)", 80), (r"\n####(?!#)", 70), (r"\n#####(?!#)", 60), (r"\n######(?!#)", 50),
@@ -32,15 +34,16 @@ def fences(text: str) -> list[tuple[int, int]]:
 
 
 class Cuts:
-    """A text's break points outside code, as sorted arrays."""
+    """A text's break points outside fenced code, with those of `more` (the better one at a place), as sorted arrays."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, more: dict[int, int] | None = None):
         points = break_points(text)
-        self.at = np.fromiter(points, np.int64, len(points))
-        self.score = np.fromiter(points.values(), float, len(points))
         for a, b in fences(text):
-            free = (self.at <= a) | (self.at >= b)
-            self.at, self.score = self.at[free], self.score[free]
+            points = {p: s for p, s in points.items() if p <= a or p >= b}
+        for p, s in (more or {}).items():
+            points[p] = max(s, points.get(p, 0))
+        self.at = np.array(sorted(points), np.int64)
+        self.score = np.array([points[p] for p in self.at.tolist()], float)
 
     def before(self, target: int, reach: int) -> int:
         """The break among the `reach` characters up to target that is worth most, the first of equal ones; its worth falls
@@ -52,38 +55,24 @@ class Cuts:
         return int(self.at[near][np.argmax(self.score[near] * (1 - DECAY * far * far))])
 
 
-def cut(points: dict[int, int], code: list[tuple[int, int]], target: int, reach: int = REACH) -> int:
-    """Cuts.before for break points and code spans that are at hand."""
-    own = Cuts("")
-    own.at, own.score = np.fromiter(points, np.int64, len(points)), np.fromiter(points.values(), float, len(points))
-    free = np.array([not any(a < p < b for a, b in code) for p in points], bool)
-    own.at, own.score = own.at[free], own.score[free]
-    return own.before(target, reach)
-
-
-def spans(text: str, size: int, overlap: int, reach: int) -> Iterator[tuple[int, int]]:
+def spans(text: str, size: int, overlap: int, reach: int, more: dict[int, int] | None = None) -> Iterator[tuple[int, int]]:
     """Starts and ends of chunks: each ends at the best break before its largest size, if that leaves it any text, and the
     next one begins `overlap` earlier, if that is a step forwards."""
-    cuts, last = Cuts(text) if len(text) > size else None, len(text)
-
-    def following(span: tuple[int, int]) -> tuple[int, int]:
-        start = span[1] - overlap if span[1] - overlap > span[0] else span[1]
+    cuts, last, start = Cuts(text, more) if len(text) > size else None, len(text), 0
+    while True:
         most = start + size
-        if most >= last:
-            return start, last
-        end = cuts.before(most, reach)
-        return start, end if end > start else most
-
-    span = following((-overlap - 1, overlap) if overlap else (-1, 0))  # as if a chunk had ended where the first begins
-    yield span
-    while span[1] < last:
-        span = following(span)
-        yield span
-
-
-def chunks(text: str, size: int = SIZE, overlap: int = OVERLAP, reach: int = REACH) -> Iterator[tuple[int, str]]:
-    """(position, text) of overlapping chunks of at most `size` characters; together they cover the text."""
-    for a, b in spans(text, size, overlap, reach):
+        end = last if most >= last else cuts.before(most, reach)
+        end = end if end > start else most
+        yield start, end
+        if end >= last:
+            return
+        start = end - overlap if end - overlap > start else end
+
+
+def chunks(text: str, size: int = SIZE, overlap: int = OVERLAP, reach: int = REACH, path: str | None = None) -> Iterator[tuple[int, str]]:
+    """(position, text) of overlapping chunks of at most `size` characters; together they cover the text. A path with the
+    extension of code adds breaks before declarations."""
+    for a, b in spans(text, size, overlap, reach, code_breaks(text, path) if path and len(text) > size else None):
         yield a, text[a:b]
 
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.functions.korean import index_terms
 from gleanery.operators.search import B, FIELD_WEIGHTS, K1, terms
 
 #: Letters of a term that choose its bucket; prefixes of fewer letters read all buckets.
@@ -44,7 +45,7 @@ def porter(text: Column) -> Column:
     return run(terms(text))
 
 
-ANALYSERS["porter"] = porter
+ANALYSERS |= {"porter": porter, "korean": index_terms}
 
 
 def bucket(term: Column) -> Column:
@@ -185,9 +186,9 @@ class Index:
                 out.append(run.select(F.lit(i).alias("unit"), "doc_id", "segment", (F.size(starts) * weight).alias("w")).where("w > 0"))
         return reduce(DataFrame.unionByName, out).groupBy("unit", "doc_id", "segment").agg(F.sum("w").alias("tf"))
 
-    def bm25(self, units: list) -> DataFrame:
-        """doc_id, raw, score as `search.bm25` gives them, of documents that match every unit that is not negated and no
-        negated one. Document counts and lengths are kept, so no other document is looked at."""
+    def bm25(self, units: list, every: bool = True) -> DataFrame:
+        """doc_id, raw, score as `search.bm25` gives them, of documents that match every unit that is not negated (with
+        every=False any of them) and no negated one. Document counts and lengths are kept, so no other document is looked at."""
         if not units or all(u.negated for u in units):
             return self.spark.createDataFrame([], "doc_id long, raw double, score double")
         if self.analyser == "porter":
@@ -204,9 +205,12 @@ class Index:
         for i in must:
             idf = F.log((n - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
             tf = F.col(f"t{i}")
-            s = s + F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / mean))
+            s = s + F.coalesce(F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / mean)), F.lit(0.0))
         for i, u in enumerate(units):
-            per = per.where(F.col(f"t{i}").isNull() if u.negated else F.col(f"t{i}").isNotNull())
+            if u.negated or every:
+                per = per.where(F.col(f"t{i}").isNull() if u.negated else F.col(f"t{i}").isNotNull())
+        if not every:
+            per = per.where(F.coalesce(*[F.col(f"t{i}") for i in must]).isNotNull())
         out = per.crossJoin(F.broadcast(counts)).select("doc_id", s.alias("s"))  # one row of counts
         return out.select("doc_id", (-F.col("s")).alias("raw"), (F.col("s") / (1 + F.col("s"))).alias("score"))
 

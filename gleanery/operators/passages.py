@@ -26,6 +26,11 @@ def chunk_documents(docs: DataFrame, size: int = P.SIZE, overlap: int = P.OVERLA
     return _each(docs, lambda k, t: [(k, i, p, c) for i, (p, c) in enumerate(P.chunks(t, size, overlap, reach))], "doc_id long, seq int, pos int, text string")
 
 
+def chunk_code(docs: DataFrame, size: int = P.SIZE, overlap: int = 0, reach: int = P.REACH) -> DataFrame:
+    """path, seq, pos, text of files (path, doc): breaks before declarations where the path's extension is one of code."""
+    return _each(docs, lambda k, t: [(k, i, p, c) for i, (p, c) in enumerate(P.chunks(t, size, overlap, reach, k))], "path string, seq int, pos int, text string", "path")
+
+
 def chunk_by_tokens(docs: DataFrame, most: int = 900, count=None) -> DataFrame:
     """doc_id, seq, pos, tokens, text; tokens by count(text), words and punctuation unless given."""
     import re

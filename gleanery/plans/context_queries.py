@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.functions import tables
+from gleanery.functions import korean, tables
 from gleanery.operators import answers, context, index, tiers
+from gleanery.operators.index import Index
 from gleanery.plans.store_queries import SQL as STORE
-from gleanery.plans.store_queries import D, asked, documents, kept_index, table
+from gleanery.plans.store_queries import POST, TERMS, D, asked, documents, kept_index, table
+from gleanery.sources.shared import shared_dir
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -150,3 +152,39 @@ def tier_choice(spark, sf):
     later = F.array(*[F.struct(F.lit(n).alias("tier"), x.alias("text")) for n, x in (("2", F.when(k % 3 == 0, t).otherwise("no")), ("3", F.when(k % 7 == 0, "none").otherwise(F.concat(bare, F.lit(" again")))))])
     rows = d.select("doc_id", base.alias("base"), F.when(k % 4 != 0, t).alias("no_ocr"), F.when(k % 5 == 1, "xx").when(k % 5 == 2, F.left(bare, F.lit(120))).when(k % 5 > 2, t).alias("force_ocr"), later.alias("later"), (1 + k % 3).alias("pages"), F.when(v == 5, 0.9).otherwise(0.0).alias("image_share"), F.lit("a.pdf").alias("name"), F.lit(0).alias("layer_chars"), F.lit(0).alias("layer_hangul"))
     return tiers.chosen(rows).select("doc_id", "tier", F.length("converted").alias("chars"))
+
+
+#: Letters of the texts as syllables, so that words end in particles; and a question of three words.
+LETTERS, SYLLABLES = "abcdefghijklmnopqrstuvwxyz", "가나다라에마바사이아자차카은로타파하거더를너러머버서"
+QUESTION = "더사에를 로은더사에 이은러이에"
+KO_TOKENS = f"regexp_extract_all(lower(%s), '{korean.TOKEN}')"
+KO_PARTS = f"flatten(list_transform({KO_TOKENS}, lambda t: CASE WHEN regexp_matches(t, '{korean.SPLIT}') THEN [regexp_extract(t, '{korean.SPLIT}', 1), regexp_extract(t, '{korean.SPLIT}', 2)] ELSE [t] END))"
+KO_DOCS = D.replace("text AS doc", f"translate(lower(text), '{LETTERS}', '{SYLLABLES}') AS doc")
+
+
+def hangul_documents(spark, sf):
+    return documents(spark, sf).withColumn("doc", F.translate(F.lower("doc"), LETTERS, SYLLABLES))
+
+
+@query("korean_terms", KO_DOCS + f" SELECT doc_id, md5(array_to_string({KO_PARTS % 'doc'}, ' ')) AS index_md5, md5(array_to_string(list_transform({KO_TOKENS % 'doc'}, lambda t: CASE WHEN regexp_matches(t, '{korean.SPLIT}') THEN regexp_extract(t, '{korean.SPLIT}', 1) ELSE t END), ' ')) AS content_md5 FROM d")
+def korean_terms(spark, sf):
+    """Terms for an index and for a query of texts whose letters are Hangul syllables."""
+    d = hangul_documents(spark, sf)
+    return d.select("doc_id", *[F.md5(F.array_join(f(F.col("doc")), " ")).alias(n) for f, n in ((korean.index_terms, "index_md5"), (korean.content_terms, "content_md5"))])
+
+
+def _korean_sql() -> str:
+    post = POST.replace(D, KO_DOCS)
+    for c in ("path", "title", "doc"):
+        post = post.replace(TERMS % c, KO_PARTS % c)
+    m = " UNION ALL ".join(f"SELECT {i} AS unit, doc_id, sum(w) AS tf FROM p WHERE starts_with(term, '{w}') GROUP BY doc_id" for i, w in enumerate(korean.query_terms(QUESTION)))
+    return post + f""", m AS ({m}), f AS (SELECT unit, count(*) AS c FROM m GROUP BY unit),
+ x AS (SELECT m.doc_id, sum(CASE WHEN ln((n.n - f.c + 0.5) / (f.c + 0.5)) <= 0 THEN 1e-6 ELSE ln((n.n - f.c + 0.5) / (f.c + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s FROM m JOIN f USING (unit) JOIN dl USING (doc_id), n GROUP BY m.doc_id)
+ SELECT doc_id, round(s / (1 + s), 6) AS score FROM x"""
+
+
+@query("korean_search", _korean_sql())
+def korean_search(spark, sf):
+    """A question of three words with particles: documents that have any of them, without their particles."""
+    ix = Index.build(hangul_documents(spark, sf), shared_dir(spark, "index"), analyser="korean")
+    return ix.bm25(*korean.query_units(QUESTION)).select("doc_id", F.round("score", 6).alias("score"))

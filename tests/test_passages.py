@@ -50,8 +50,11 @@ def test_snippet_around_a_chunk():
 
 
 def test_cut_weighs_score_and_distance():
-    assert P.cut({10: 20, 90: 1}, [], 100, 100) == 10 and P.cut({10: 20, 90: 10}, [], 100, 100) == 90
-    assert P.cut({10: 20, 90: 100}, [(80, 95)], 100, 100) == 10 and P.cut({}, [], 100) == 100
+    def cut(points, target, reach=P.REACH):
+        return P.Cuts("", points).before(target, reach)
+
+    assert cut({10: 20, 90: 1}, 100, 100) == 10 and cut({10: 20, 90: 10}, 100, 100) == 90
+    assert P.Cuts("a\n```\n# b\n```\n").at.tolist() == [1, 13] and cut({}, 100) == 100
 
 
 def test_sections():
