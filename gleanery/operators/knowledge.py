@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanery.sources.shared import written
+
 # Fixed values of the anti-pattern rules.
 EXCEPTIONS = [
     "electronic-approval-system", "supply-chain-management-system", "manufacturing-execution-system", "enterprise-resource-planning", "supply-chain-management", "product-lifecycle-management", "risk-management",
@@ -51,8 +53,9 @@ def anti_pattern(name: Column) -> Column:
 
 
 def canonical(names: DataFrame, aliases: DataFrame, col: str = "slug") -> DataFrame:
-    """names with `col` replaced by its alias's target where there is one. aliases: alias, target; a small table."""
-    a = F.broadcast(aliases.select(F.col("alias").alias("_a"), F.col("target").alias("_t")))
+    """names with `col` replaced by its alias's target where there is one. aliases: alias, target; Spark broadcasts them
+    if they are small."""
+    a = aliases.select(F.col("alias").alias("_a"), F.col("target").alias("_t"))
     return names.join(a, F.col(col) == F.col("_a"), "left").withColumn(col, F.coalesce("_t", col)).drop("_a", "_t")
 
 
@@ -66,7 +69,7 @@ def valid_types(mentions: DataFrame, entity: list[str], concept: list[str]) -> D
 
 def forced(pages: DataFrame, pins: DataFrame) -> DataFrame:
     """pages (slug, pool, type) with pinned pool and type; one row for each pool and slug, the first by type."""
-    p = F.broadcast(pins.select("slug", F.col("pool").alias("_p"), F.col("type").alias("_t")))
+    p = pins.select("slug", F.col("pool").alias("_p"), F.col("type").alias("_t"))
     j = pages.join(p, "slug", "left").select("slug", F.coalesce("_p", "pool").alias("pool"), F.coalesce("_t", "type").alias("type"))
     return j.groupBy("pool", "slug").agg(F.min("type").alias("type"))
 
@@ -124,7 +127,7 @@ def unlinked(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 def one_hop(links: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
     """dst, n, first: targets of the base pages by number of links, then first place; base pages themselves left out."""
-    l = links.join(F.broadcast(base), "src", "left_semi").join(F.broadcast(base.select(F.col("src").alias("dst"))), "dst", "left_anti")
+    l = links.join(base, "src", "left_semi").join(base.select(F.col("src").alias("dst")), "dst", "left_anti")
     return l.groupBy("dst").agg(F.count("*").alias("n"), F.min(F.struct("pos", "src")).alias("first")).orderBy(F.desc("n"), "first", "dst").limit(k).select("dst", "n", F.col("first.pos").alias("first"))
 
 
@@ -201,7 +204,7 @@ def similarity_edges(vectors: DataFrame, least: float, planes: int = 0) -> DataF
 def min_labels(pairs: DataFrame, most: int = 100) -> DataFrame:
     """node, cluster (its least member) of the nodes of pairs (a, b). Labels go along edges and are then looked up
     themselves; each round is checkpointed, which cuts lineage, and the last changes nothing."""
-    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a")).distinct()
+    both = written(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.node", "e.other").distinct(), "edges")
     now = both.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("cluster"))
     for _ in range(most):
         near = both.join(now.select(F.col("node").alias("other"), "cluster"), "other").groupBy("node").agg(F.min("cluster").alias("c"))

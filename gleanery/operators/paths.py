@@ -107,8 +107,9 @@ def multi_get(docs: DataFrame, names: DataFrame, max_bytes: int) -> DataFrame:
 
 def contexts(docs: DataFrame, ctx: DataFrame) -> DataFrame:
     """collection, path, context: all contexts of prefixes of the path, general to specific, joined by a blank line. A
-    prefix need not end at a folder. ctx: collection, prefix, context; a small table that users write."""
-    c = F.broadcast(ctx.withColumnRenamed("collection", "_c"))
+    prefix need not end at a folder. ctx: collection, prefix, context; Spark broadcasts it if
+    it is small."""
+    c = ctx.withColumnRenamed("collection", "_c")
     j = docs.select("collection", "path").join(c, (F.col("collection") == F.col("_c")) & F.col("path").startswith(F.col("prefix")), "left")
     parts = F.array_sort(F.collect_list(F.when(F.col("prefix").isNotNull(), F.struct(F.length("prefix").alias("n"), "prefix", "context"))))
     g = j.groupBy("collection", "path").agg(parts.alias("p"))
@@ -117,7 +118,7 @@ def contexts(docs: DataFrame, ctx: DataFrame) -> DataFrame:
 
 def longest_context(docs: DataFrame, ctx: DataFrame, default: str | None = None) -> DataFrame:
     """collection, path, context: the context of the longest prefix, else the default."""
-    c = F.broadcast(ctx.withColumnRenamed("collection", "_c"))
+    c = ctx.withColumnRenamed("collection", "_c")
     j = docs.select("collection", "path").join(c, (F.col("collection") == F.col("_c")) & F.col("path").startswith(F.col("prefix")), "left")
     g = j.groupBy("collection", "path").agg(F.max_by("context", F.length("prefix")).alias("context"))
     return g.select("collection", "path", F.coalesce("context", F.lit(default)).alias("context"))
