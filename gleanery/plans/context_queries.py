@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.functions import korean, tables
-from gleanery.operators import answers, context, index, tiers
+from gleanery.operators import answers, context, index, suggest, tiers
 from gleanery.operators.index import Index
+from gleanery.operators.knowledge import CLUSTER_SUFFIXES, signature
+from gleanery.plans.knowledge_queries import NAMES, names
 from gleanery.plans.store_queries import SQL as STORE
 from gleanery.plans.store_queries import POST, TERMS, D, asked, documents, kept_index, table
 from gleanery.sources.shared import shared_dir
@@ -188,3 +190,27 @@ def korean_search(spark, sf):
     """A question of three words with particles: documents that have any of them, without their particles."""
     ix = Index.build(hangul_documents(spark, sf), shared_dir(spark, "index"), analyser="korean")
     return ix.bm25(*korean.query_units(QUESTION)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+SUGGESTED = f"""WITH {NAMES}, r AS (SELECT source, id % 3 AS k, slug FROM n), h AS (SELECT * FROM r WHERE k < 2), w AS (SELECT * FROM r WHERE k = 2 AND source < 'src3'),
+a AS (SELECT * FROM h UNION ALL SELECT * FROM w), s AS (SELECT unnest({CLUSTER_SUFFIXES!r}) AS suffix),
+m AS (SELECT s.suffix, source, k, list(DISTINCT slug) AS slugs, count(*) AS n FROM a JOIN s ON suffix(slug, '-' || s.suffix) GROUP BY ALL),
+l AS (SELECT suffix, source, max_by(slugs, k) AS slugs, sum(n) AS n FROM m GROUP BY ALL), g AS (SELECT suffix, list_sort(list_distinct(flatten(list(slugs)))) AS slugs, count(*) AS support, sum(n) AS mentions FROM l GROUP BY suffix HAVING count(*) >= 2),
+sp AS (SELECT CASE WHEN len(list_distinct(list_transform(slugs, lambda x: split_part(x, '-', 1)))) = 1 THEN split_part(slugs[1], '-', 1) ELSE 'cluster' END || '-' || suffix AS umbrella, slugs, support, 1 AS shapes, mentions FROM g),
+q AS (SELECT source, k, split_part(slug, '-', 1) AS head, list_sort(list(DISTINCT slug)) AS slugs FROM w GROUP BY ALL HAVING count(DISTINCT slug) >= 3),
+u AS (SELECT *, CASE WHEN slugs[1] = slugs[-1] THEN slugs[1] ELSE left(slugs[1], CAST(list_min(list_filter(range(1, least(length(slugs[1]), length(slugs[-1])) + 2), lambda i: substring(slugs[1], i, 1) <> substring(slugs[-1], i, 1) OR i > least(length(slugs[1]), length(slugs[-1])))) - 1 AS INTEGER)) END AS shared FROM q),
+pp AS (SELECT regexp_replace(shared, '[-_][^-_]*$', '') AS umbrella, slugs FROM u), pf AS (SELECT umbrella, slugs, 1 AS support, len(list_distinct(list_transform(slugs, lambda x: split_part(substring(x, length(umbrella) + 1), '-', 1)))) AS shapes, len(slugs) AS mentions FROM pp WHERE length(umbrella) >= 5),
+e AS (SELECT *, umbrella || '::' || array_to_string(slugs, '|') AS text FROM (FROM sp UNION ALL FROM pf)),
+c AS (SELECT *, 0.4 * least(support / 5, 1.0) + 0.3 * CASE WHEN shapes <= 1 THEN 1.0 ELSE 0.5 END + 0.2 * least(mentions / 20, 1.0) + 0.1 * CASE WHEN list_contains(list_transform(slugs, lambda x: ends_with(x, 'process')), true) THEN 0.0 ELSE 1.0 END AS sure FROM e)
+SELECT umbrella, md5(array_to_string(slugs, '|')) AS slugs_md5, CAST(max(support) AS INTEGER) AS support, CAST(max(mentions) AS BIGINT) AS mentions, round(max(sure), 6) AS confidence FROM c WHERE sure >= 0.3 AND umbrella <> 'cluster-planning' GROUP BY umbrella, slugs"""
+
+
+@query("suggestion_pipeline", SUGGESTED)
+def suggestion_pipeline(spark, sf):
+    """Patterns of new records and of the history, without a barred one; names that end with process are built in."""
+    n = names(spark, sf).select("source", (F.col("id") % 3).alias("at"), "slug")
+    old, new = n.where("at < 2"), n.where("at = 2 AND source < 'src3'")
+    every = suggest.suffix_patterns(suggest.appended(old, new))
+    barred = every.where("umbrella = 'cluster-planning'").select(signature(F.col("umbrella"), F.col("slugs")).alias("id"))
+    out = suggest.detected(old, new, barred, n.where("slug LIKE '%process'").select("slug"), 0.3)
+    return out.select("umbrella", F.md5(F.array_join("slugs", "|")).alias("slugs_md5"), "support", "mentions", F.round("confidence", 6).alias("confidence"))
