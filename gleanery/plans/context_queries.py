@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.functions import korean, tables
-from gleanery.operators import answers, context, index, suggest, tiers
+from gleanery.operators import answers, context, embed, index, suggest, tiers
 from gleanery.operators.index import Index
 from gleanery.operators.knowledge import CLUSTER_SUFFIXES, signature
 from gleanery.plans.knowledge_queries import NAMES, names
@@ -214,3 +214,16 @@ def suggestion_pipeline(spark, sf):
     barred = every.where("umbrella = 'cluster-planning'").select(signature(F.col("umbrella"), F.col("slugs")).alias("id"))
     out = suggest.detected(old, new, barred, n.where("slug LIKE '%process'").select("slug"), 0.3)
     return out.select("umbrella", F.md5(F.array_join("slugs", "|")).alias("slugs_md5"), "support", "mentions", F.round("confidence", 6).alias("confidence"))
+
+
+@query("embed_job", D + " SELECT hash, hash AS rebuilt, true AS long_enough FROM d WHERE active AND doc <> '' AND hash NOT IN (SELECT hash FROM d WHERE doc_id IN (SELECT vec_id FROM embeddings)) GROUP BY hash")
+def embed_job(spark, sf):
+    """Contents without a vector, cut and embedded with prefixes; their chunks give the text again, each vector counts the
+    prefix too."""
+    d = documents(spark, sf)
+    have = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")).join(d, "doc_id").select("hash", F.lit(0).alias("seq")).distinct()
+    prefixes = d.select("hash", F.lit("About this").alias("prefix")).distinct()
+    new = embed.embedded(embed.pending(d.where("doc <> ''"), have), prefixes, lambda t: F.array(F.length(t).cast("double")), 900, 100)
+    per = new.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("seq", "pos", "text"))).alias("l"), F.min(F.get("embedding", 0) - F.length("text")).alias("more"))
+    own = F.transform("l", lambda x, i: F.when(F.get("l", i + 1).isNull(), x.text).otherwise(F.substring(x.text, F.lit(1), F.get("l", i + 1).pos - x.pos)))
+    return per.select("hash", F.sha2(F.array_join(own, ""), 256).alias("rebuilt"), (F.col("more") == len("About this\n\n")).alias("long_enough"))
