@@ -479,7 +479,10 @@ def snippet(spark, sf):
 
 @query("section_index")
 def section_index(spark, sf):
-    p = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_replace(F.regexp_replace("html", r"(?is)<h([1-6])[^>]*>", "\n# "), r"(?s)<[^>]*>", "\n").alias("doc"))
+    text = F.col("html")
+    for level in range(1, 7):
+        text = F.regexp_replace(text, f"(?is)<h{level}[^>]*>", "\n" + "#" * level + " ")
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_replace(text, r"(?s)<[^>]*>", "\n").alias("doc"))
     return P.section_index(p)
 
 
