@@ -74,9 +74,13 @@ def peers(sections: DataFrame, doc: str, order: str, title: str, most: int = 200
     return sections.withColumns({"prev": F.lag(title).over(w), "next": F.lead(title).over(w), "overview": text})
 
 
-def repeaters(texts: DataFrame, doc: str, text: str, least: int = 3, most: int = 10) -> DataFrame:
-    """doc, token, n, rank: acronyms that a document's text has `least` times or more; the `most` most frequent."""
-    t = texts.select(doc, F.explode(F.split(text, r"[\s,.;:()\[\]{}]+")).alias("token")).where(F.col("token").rlike("^[A-Z][A-Z0-9]{1,5}$"))
+def repeaters(texts: DataFrame, doc: str, text: str, least: int = 3, most: int = 10, any_case: bool = False) -> DataFrame:
+    """doc, token, n, rank: acronyms that a document's text has `least` times or more; the `most` most frequent. any_case:
+    letters count as their capitals, one for one, so a token with a letter without one from A to Z (ß) is none."""
+    small = "a-z\u0131\u017f" if any_case else ""  # the last two have the capitals I and S
+    t = texts.select(doc, F.explode(F.split(text, r"[\s,.;:()\[\]{}]+")).alias("token")).where(F.col("token").rlike(rf"^[A-Z{small}][A-Z{small}0-9]{{1,5}}\z"))
+    if any_case:
+        t = t.withColumn("token", F.upper("token"))
     n = t.groupBy(doc, "token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     rank = F.row_number().over(W.partitionBy(doc).orderBy(F.desc("n"), "token"))
     return n.withColumn("rank", rank).where(F.col("rank") <= most)
