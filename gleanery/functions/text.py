@@ -117,8 +117,11 @@ def tokens_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / F.when(share > 0.5, 1.5).when(share > 0.2, 2.5).otherwise(4.0) * 1.3)
 
 
-def route(tokens: Column, context: int, reserve: float = 0.2, overhead: int = 2000) -> Column:
-    return F.when(tokens <= int(context * (1 - reserve)) - overhead, "FULL").otherwise("SEGMENTED")
+def route(tokens: Column, context: int, reserve: float = 0.2, overhead: int = 2000, whole: bool = False) -> Column:
+    """FULL where the tokens fit what the context has without its reserve and the overhead, else SEGMENTED. whole: the
+    context without its reserve is rounded to whole tokens first."""
+    usable = context * (1 - reserve)
+    return F.when(tokens <= (round(usable) if whole else usable) - overhead, "FULL").otherwise("SEGMENTED")
 
 
 def truncate(text: Column, most: int = 12_000, marker: str = "\n[...]\n") -> Column:

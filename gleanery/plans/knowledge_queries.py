@@ -381,10 +381,10 @@ TOK = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w:
 
 @query("lang_hint", "SELECT doc_id, 'en' AS hint, CAST(ceil(length(text) / 4.0 * 1.3) AS BIGINT) AS tokens, CASE WHEN ceil(length(text) / 4.0 * 1.3) <= CAST(4096 * 0.8 AS INTEGER) - 2000 THEN 'FULL' ELSE 'SEGMENTED' END AS route FROM documents")
 def lang_hint(spark, sf):
-    """No Hangul in the test texts, so the divisor is 4 and the hint is en."""
+    """No Hangul in the test texts, so the divisor is 4 and the hint is en. The SQL rounds 3276.8 tokens to 3277."""
     d = table(spark, sf, "documents")
     t = T.tokens_estimate(F.col("text"))
-    return d.select("doc_id", T.language_hint(F.col("text")).alias("hint"), t.alias("tokens"), T.route(t, 4096).alias("route"))
+    return d.select("doc_id", T.language_hint(F.col("text")).alias("hint"), t.alias("tokens"), T.route(t, 4096, whole=True).alias("route"))
 
 
 @query("token_shares", f"WITH t AS (SELECT doc_id, {TOK} AS t FROM documents) SELECT doc_id, round(coalesce(len(list_filter(t, lambda w: length(w) >= 15)) / nullif(len(t), 0), 0), 6) AS long_share, round(coalesce(len(list_filter(t, lambda w: regexp_matches(w, '^[A-Z][A-Z0-9]{{1,5}}$'))) / nullif(len(t), 0), 0), 6) AS acronym_share FROM t")
