@@ -6,37 +6,43 @@ takes a tombstone back; a delete sets one. So a chain a to b, b to c ends at c,
 still finds its record.
 
 Who owns an event follows from earlier arrivals alone: the owner is the least id that can reach its path through events in
-rising order. (Where a smaller id owned an event on the way, that id would reach the path as well.) One round finds, for all
-paths at once, the least owner that arrived before each event; rounds go on while owners change, as many as the longest
-chain of different paths has links.
+rising order. (Where a smaller id owned an event on the way, that id would reach the path as well.) So all that counts at a
+time is the least id that reached each path by then. Events are cut into blocks by their order. A round replays blocks from
+the paths' least ids at their starts, and gives those at their ends to later blocks; only blocks for which a path that they
+name has got a lesser id are replayed again. Chains inside a block cost no round, so rounds go on while ids still spread
+from block to block: two where a first block settles all, at most one more than there are blocks.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.sources.shared import written
 
-#: Sequence numbers of a path that are looked at together; more of one path are cut into spans, so a path that very many
-#: events name is no single task's work.
-SPAN = 65_536
+#: Events of a block, which one task replays at a time.
+SPAN = 1 << 18
 
 
-def _arrived(arrivals: DataFrame, events: DataFrame, span: int) -> DataFrame:
-    """events (k, path, ...) with owner: the least owner of the arrivals (path, k, owner) at its path before it."""
-    keep = [c for c in events.columns if c not in ("k", "path")]
-    a = arrivals.select("path", "k", "owner", F.lit(1).alias("role"), *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in keep])
-    e = events.select("path", "k", F.lit(None).cast(arrivals.schema["owner"].dataType).alias("owner"), F.lit(0).alias("role"), *keep)
-    rows = a.unionByName(e).withColumn("part", F.coalesce(F.floor(F.col("k.seq") / span), F.lit(-(1 << 62))))
-    # an event is no arrival before itself, so it stands in front of the arrival that it makes
-    run = W.partitionBy("path", "part").orderBy(F.col("k").asc_nulls_first(), "role").rowsBetween(W.unboundedPreceding, W.currentRow)
-    spans = rows.groupBy("path", "part").agg(F.min("owner").alias("least"))
-    earlier = W.partitionBy("path").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    spans = spans.select("path", "part", F.min("least").over(earlier).alias("earlier"))
-    got = rows.withColumn("within", F.min("owner").over(run)).where("role = 0").join(spans, ["path", "part"])
-    return got.select("k", "path", F.least("within", "earlier").alias("owner"), *keep)
+def _replay(events: pa.Table, begin: pa.Table) -> tuple[pa.Table, list, list, list]:
+    """A block's events (pos, path, to) in order with the owner of each, from the least ids (path, owner) at its start; all
+    paths in it, and their least ids at its start and end."""
+    events = events.sort_by("pos")
+    names = pa.chunked_array([*events["path"].chunks, *events["to"].chunks, *begin["path"].chunks], pa.string()).combine_chunks().dictionary_encode()
+    code, n = names.indices.to_pylist(), events.num_rows
+    start = [None] * len(names.dictionary)
+    for c, owner in zip(code[2 * n :], begin["owner"].to_pylist(), strict=True):
+        start[c] = owner
+    now, owners = start.copy(), []
+    for c, to in zip(code[:n], code[n : 2 * n], strict=True):
+        owner = now[c]
+        owners.append(owner)
+        if owner is not None and to is not None and (now[to] is None or owner < now[to]):
+            now[to] = owner
+    return events.append_column("owner", pa.array(owners, begin.schema.field("owner").type)), names.dictionary.to_pylist(), start, now
 
 
 def owned(registry: DataFrame, events: DataFrame, span: int = SPAN) -> DataFrame:
@@ -45,17 +51,46 @@ def owned(registry: DataFrame, events: DataFrame, span: int = SPAN) -> DataFrame
     an old path, and renames without a new one, not at all."""
     e = events.where("seq IS NOT NULL AND old IS NOT NULL AND kind IN ('rename', 'delete') AND (kind = 'delete' OR new IS NOT NULL)")
     e = e.select(F.struct(F.col("seq").cast("long").alias("seq"), "kind", "old", F.when(F.col("kind") == "rename", F.col("new")).alias("new")).alias("k")).distinct()
-    e = written(e.select("k", F.col("k.old").alias("path"), F.col("k.new").alias("to")), "events")
+    blocks = max(1, -(-e.count() // span))
+    e = e.select("k", F.col("k.old").alias("path"), F.col("k.new").alias("to")).repartitionByRange(blocks, "k").sortWithinPartitions("k")
+    e = written(e.withColumn("pos", F.monotonically_increasing_id()).withColumn("block", F.shiftright("pos", 33)), "events")
     had = F.array_distinct(F.concat(F.coalesce("history", F.array().cast("array<string>")), F.array("path")))
-    begin = written(registry.select(F.explode(had).alias("path"), F.lit(None).cast(e.schema["k"].dataType).alias("k"), F.col("id").alias("owner")).where("path IS NOT NULL"), "arrivals")
-    got = written(_arrived(begin, e, span), "owners")
+    begin = registry.select(F.explode(had).alias("path"), F.col("id").alias("owner")).where("path IS NOT NULL").groupBy("path").agg(F.min("owner").alias("owner"))
+    begin, named = written(begin, "arrivals"), written(e.select("path", "block").distinct(), "named")
+    kind = begin.schema["owner"].dataType
+    ends = T.StructType([T.StructField("path", T.StringType()), T.StructField("block", T.LongType()), T.StructField("owner", kind)])
+
+    def spread(events: pa.Table, begin: pa.Table) -> pa.Table:
+        """The paths that have a lesser id at the block's end than at its start."""
+        _, names, start, now = _replay(events, begin)
+        new = [c for c, (was, is_) in enumerate(zip(start, now, strict=True)) if is_ != was]
+        block = events["block"][0].as_py()
+        return pa.table({"path": pa.array([names[c] for c in new], pa.string()), "block": pa.array([block] * len(new), pa.int64()), "owner": pa.array([now[c] for c in new], begin.schema.field("owner").type)})
+
+    def owners(events: pa.Table, begin: pa.Table) -> pa.Table:
+        return _replay(events, begin)[0].select(["k", "path", "to", "owner"])
+
+    def replayed_by(run, events: DataFrame, starts: DataFrame, schema: T.StructType) -> DataFrame:
+        return events.groupBy("block").cogroup(starts.groupBy("block")).applyInArrow(run, schema)
+
+    starts = written(named.join(begin, "path").select("path", "block", "owner"), "starts")
+    moved, todo = written(starts.sparkSession.createDataFrame([], ends), "ends"), starts.select("block").distinct()
+    renames = e.where("to IS NOT NULL").select("pos", "block", "path", "to")
+    before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     while True:
-        arrivals = begin.unionByName(got.where("owner IS NOT NULL AND to IS NOT NULL").select(F.col("to").alias("path"), "k", "owner"))
-        new = written(_arrived(arrivals, e, span), "owners")
-        changed = new.select("k", "owner").join(got.select("k", F.col("owner").alias("_was")), "k").where("NOT owner <=> _was")
-        got = new
-        if not changed.limit(1).count():
-            return got.where("owner IS NOT NULL")
+        got = replayed_by(spread, renames.join(todo, "block", "left_semi"), starts.join(todo, "block", "left_semi"), ends)
+        moved = written(moved.unionByName(got).groupBy("path", "block").agg(F.min("owner").alias("owner")), "ends")
+        rows = moved.withColumn("asks", F.lit(False)).unionByName(begin.select("path", F.lit(-1).cast("long").alias("block"), "owner", F.lit(False).alias("asks")))
+        rows = rows.unionByName(named.select("path", "block", F.lit(None).cast(kind).alias("owner"), F.lit(True).alias("asks")))
+        rows = rows.groupBy("path", "block").agg(F.min("owner").alias("owner"), F.max("asks").alias("asks"))
+        was = starts.select("path", "block", F.col("owner").alias("was"))
+        new = rows.withColumn("owner", F.min("owner").over(before)).where("asks AND owner IS NOT NULL").join(was, ["path", "block"], "left")
+        new = written(new.select("path", "block", "owner", (~F.col("owner").eqNullSafe(F.col("was"))).alias("changed")), "starts")
+        starts, todo = new.select("path", "block", "owner"), new.where("changed").select("block").distinct()
+        if not todo.limit(1).count():
+            whole = T.StructType([*e.select("k", "path", "to").schema.fields, T.StructField("owner", kind)])
+            got = replayed_by(owners, e.join(starts.select("block").distinct(), "block", "left_semi"), starts, whole)
+            return written(got.where("owner IS NOT NULL"), "owners")
 
 
 def replayed(registry: DataFrame, events: DataFrame, span: int = SPAN) -> DataFrame:

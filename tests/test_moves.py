@@ -88,3 +88,12 @@ def test_empty_and_pages(spark):
     assert out["p2"] == page.replace("body\n", "> [!warning] source deleted (2024-01-01)\n\nbody\n") and out["p5"].startswith("> [!warning]")
     twice = spark.createDataFrame([("p2", 2, out["p2"])], "page string, id long, text string")
     assert moves.followed(twice, reg, after, "2024-02-01").first().text == out["p2"]
+
+
+def test_chain_in_few_rounds(spark, monkeypatch):
+    """A chain of 20 links inside a block takes no round for each link."""
+    tables = []
+    monkeypatch.setattr(moves, "written", lambda df, tag, keep=moves.written: tables.append(tag) or keep(df, tag))
+    registry, events = [(1, "p0", [], False)], [(k, "rename", f"p{k}", f"p{k + 1}") for k in range(20)]
+    df = moves.replayed(spark.createDataFrame(registry, SCHEMA), spark.createDataFrame(events, EVENT))
+    assert got(df) == replay(registry, events) and len(tables) <= 10
