@@ -175,11 +175,17 @@ def ocr_polluted(text: Column) -> Column:
     lines = F.split(text, "\n")
     # w: wanted short line, x: blank, o: any other, i: mark
     kind = lambda s: F.when(s.rlike(IMAGE), "i").when(F.trim(s) == "", "x").when((F.length(F.trim(s)) < 20) & ~s.rlike(ITEM), "w").otherwise("o")
-    code = F.array_join(F.transform(lines, kind), "")
-    windows = F.transform(F.filter(F.sequence(F.lit(1), F.length(code)), lambda k: F.substring(code, k, F.lit(1)) == "i"), lambda k: F.array(F.substring(code, F.greatest(k - 5, F.lit(1)), k - F.greatest(k - 5, F.lit(1))), F.substring(code, k + 1, F.lit(5))))
-    near = F.exists(F.flatten(windows), lambda s: s.rlike("wx*wx*w"))
-    share = F.regexp_count(code, F.lit("w")) / F.greatest(F.regexp_count(code, F.lit("[^x]")), F.lit(1))
-    return (F.length(F.trim(text)) >= 2000) & (F.regexp_count(code, F.lit("i")) >= 5) & (near | (share > 0.5))
+
+    def judged(code):
+        at = F.filter(F.sequence(F.lit(1), F.length(code)), lambda k: F.substring(code, k, F.lit(1)) == "i")
+        windows = F.transform(at, lambda k: F.array(F.substring(code, F.greatest(k - 5, F.lit(1)), k - F.greatest(k - 5, F.lit(1))), F.substring(code, k + 1, F.lit(5))))
+        near = F.exists(F.flatten(windows), lambda s: s.rlike("wx*wx*w"))
+        share = F.regexp_count(code, F.lit("w")) / F.greatest(F.regexp_count(code, F.lit("[^x]")), F.lit(1))
+        return (F.regexp_count(code, F.lit("i")) >= 5) & (near | (share > 0.5))
+
+    # the code is an element of an array, as a plain column would be made anew for each of its lines
+    code = F.array(F.array_join(F.transform(lines, kind), ""))
+    return (F.length(F.trim(text)) >= 2000) & F.get(F.transform(code, judged), 0)
 
 
 def fetch_size(limit: int, everything: bool = False) -> int:

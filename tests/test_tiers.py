@@ -56,3 +56,13 @@ def test_images(spark):
     rows = [("abcd" * 99, "abc" * 99, 1, "1-scan", True), ("abcd", "abcd", 1, "1-scan", False), ("abcd" * 99, "abc" * 99, 1, "1", False), ("abcd", "abc", 1, "1", True), ("abcd" * 99, "abc" * 99, 1, "1b-spacing", False)]
     df = spark.createDataFrame(rows, "raw string, bare string, pages int, tier string, want boolean")
     assert all(r.got == r.want for r in df.select("want", tiers.images_redundant(F.col("raw"), F.col("bare"), F.col("pages"), F.col("tier")).alias("got")).collect())
+
+
+def test_many_lines_in_one_pass(spark):
+    """A text of 4,000 lines is judged in time that grows with its lines, not with their square."""
+    import time
+
+    texts = [("\n".join(f"{line} {k}" for k in range(4000)),) for line in ("a line of plain words that is long enough", "![a](b.png)\nab\ncd\nef")]
+    start = time.monotonic()
+    got = [r[0] for r in spark.createDataFrame(texts, "t string").select(tiers.ocr_polluted(F.col("t"))).collect()]
+    assert got == [False, True] and time.monotonic() - start < 20
