@@ -161,7 +161,7 @@ def body_chars(text: Column) -> Column:
 
 def likely_scan(text: Column, pages: Column) -> Column:
     """Under 100 characters a page and under 50 Hangul ones in all, where the number of pages is known."""
-    hangul = F.length(F.regexp_replace(text, "[^가-힣]", ""))
+    hangul = F.length(F.regexp_replace(text, "[^가-힣]+", ""))
     return (pages > 0) & (body_chars(text) / pages < 100) & (hangul < 50)
 
 

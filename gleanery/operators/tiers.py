@@ -22,7 +22,7 @@ def trimmed(text: Column) -> Column:
 
 def hangul(text: Column) -> Column:
     """Number of Hangul syllables outside image marks."""
-    return F.length(F.regexp_replace(F.regexp_replace(text, IMAGES, ""), "[^가-힯]", ""))
+    return F.length(F.regexp_replace(F.regexp_replace(text, IMAGES, ""), "[^가-힯]+", ""))
 
 
 def spacing_lost(text: Column) -> Column:
@@ -50,12 +50,17 @@ def empty_sections(text: Column) -> Column:
 def quality(text: Column) -> Column:
     """score, decision of a conversion: retry where word spacing was lost, retry-no-ocr where recognised scraps of images
     stand in the text, accept from a score of 0.6, else reject; under 100 characters reject with a score of 0."""
-    lost, polluted = spacing_lost(text), ocr_polluted(text)
-    score = 1.0 - 0.3 * broken_tables(text) - 0.3 * empty_sections(text) - F.when(lost, 0.4).otherwise(0.0) - F.when(polluted, 0.4).otherwise(0.0)
-    score = F.greatest(score, F.lit(0.0))
     short = F.length(trimmed(text)) < LEAST_BODY
-    decision = F.when(short, "reject").when(lost, "retry").when(polluted, "retry-no-ocr").when(score >= LEAST_SCORE, "accept").otherwise("reject")
-    return F.struct(F.when(short, 0.0).otherwise(score).alias("score"), decision.alias("decision"))
+
+    def judged(x):
+        score = x.left - F.when(x.lost, 0.4).otherwise(0.0) - F.when(x.polluted, 0.4).otherwise(0.0)
+        score = F.greatest(score, F.lit(0.0))
+        decision = F.when(x.short, "reject").when(x.lost, "retry").when(x.polluted, "retry-no-ocr").when(score >= LEAST_SCORE, "accept").otherwise("reject")
+        return F.struct(F.when(x.short, 0.0).otherwise(score).alias("score"), decision.alias("decision"))
+
+    # each part is found once, as an element of an array
+    parts = F.struct(short.alias("short"), spacing_lost(text).alias("lost"), ocr_polluted(text).alias("polluted"), (1.0 - 0.3 * broken_tables(text) - 0.3 * empty_sections(text)).alias("left"))
+    return F.get(F.transform(F.array(parts), judged), 0)
 
 
 def accepted(text: Column, least: int = ACCEPTED) -> Column:
