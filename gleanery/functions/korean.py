@@ -26,6 +26,18 @@ TOKEN = f"[{HANGUL}]+|[A-Za-z0-9]+(?:[._\\-][A-Za-z0-9]+)*"
 SPLIT = f"^([{HANGUL}]{{{KEPT},}}?)({'|'.join(PARTICLES)})$"
 
 
+def _ends() -> str:
+    """The particles, by their first syllable."""
+    rest: dict[str, list[str]] = {}
+    for p in PARTICLES:
+        rest.setdefault(p[0], []).append(p[1:])
+    return "|".join(f"{a}(?:{'|'.join(b)})" for a, b in rest.items())
+
+
+#: SPLIT for all words of a text at once: a run of Hangul is a token, whatever stands beside it.
+SPLITS = f"(?<![{HANGUL}])([{HANGUL}]{{{KEPT},}}?)({_ends()})(?![{HANGUL}])"
+
+
 def tokens(text: Column) -> Column:
     """Runs of Hangul, and words of other letters and digits in lower case."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
@@ -33,13 +45,12 @@ def tokens(text: Column) -> Column:
 
 def index_terms(text: Column) -> Column:
     """All parts of all tokens, in order."""
-    parts = F.transform(tokens(text), lambda t: F.when(t.rlike(SPLIT), F.array(F.regexp_extract(t, SPLIT, 1), F.regexp_extract(t, SPLIT, 2))).otherwise(F.array(t)))
-    return F.flatten(parts)
+    return tokens(F.regexp_replace(text, SPLITS, "$1 $2"))
 
 
 def content_terms(text: Column) -> Column:
     """Tokens without their particles."""
-    return F.transform(tokens(text), lambda t: F.when(t.rlike(SPLIT), F.regexp_extract(t, SPLIT, 1)).otherwise(t))
+    return tokens(F.regexp_replace(text, SPLITS, "$1"))
 
 
 def query_terms(question: str) -> list[str]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -74,6 +76,46 @@ def bm25(docs: DataFrame, units: DataFrame, fields: dict[str, str] | None = None
     return s.select("doc_id", (-F.col("s")).alias("raw"), (F.col("s") / (1 + F.col("s"))).alias("score"))
 
 
+def scored(per: DataFrame, units: list, n: int, mean: float, every: bool) -> DataFrame:
+    """doc_id, raw, score of rows (doc_id, dl, t0, t1, ...: weighted matches of each unit, null for none) that match every
+    unit that is not negated (with every=False any of them) and no negated one. n, mean: documents and their mean length."""
+    must = [i for i, u in enumerate(units) if not u.negated]
+    counts = per.agg(*[F.count(f"t{i}").alias(f"n{i}") for i in must])
+    s = F.lit(0.0)
+    for i in must:
+        idf = F.log((F.lit(n) - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
+        tf = F.col(f"t{i}")
+        s = s + F.coalesce(F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / mean)), F.lit(0.0))
+    for i, u in enumerate(units):
+        if u.negated or every:
+            per = per.where(F.col(f"t{i}").isNull() if u.negated else F.col(f"t{i}").isNotNull())
+    if not every:
+        per = per.where(F.coalesce(*[F.col(f"t{i}") for i in must]).isNotNull())
+    out = per.crossJoin(F.broadcast(counts)).select("doc_id", s.alias("s"))  # one row of counts
+    return out.select("doc_id", (-F.col("s")).alias("raw"), (F.col("s") / (1 + F.col("s"))).alias("score"))
+
+
+def asked_once(docs: DataFrame, units: list, every: bool = True, analyser: Callable[[Column], Column] = terms, fields: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, raw, score as `Index.bm25` gives them, by one pass over docs (one row for each doc_id) and no shuffle: for a
+    question to a table that no index is kept of. Units are terms and prefixes; phrases are an index's work."""
+    from gleanery.sources.shared import written
+
+    if any(u.kind == "phrase" for u in units):
+        raise ValueError("phrases need an index")
+    if not units or all(u.negated for u in units):
+        return docs.sparkSession.createDataFrame([], "doc_id long, raw double, score double")
+    fields = fields or {"path": "path", "title": "title", "body": "doc"}
+    is_one = lambda t, u: t.startswith(u.words[0]) if u.kind == "prefix" else t == u.words[0]
+    held = docs.select("doc_id", *[analyser(F.coalesce(F.col(c), F.lit(""))).alias(f) for f, c in fields.items()])
+    only = lambda f, some: F.filter(F.col(f), lambda t: reduce(or_, [is_one(t, u) for u in some]))
+    hits = [only(f, units).alias(f) for f in fields]
+    held = held.select("doc_id", sum((F.size(f) for f in fields), F.lit(0)).alias("dl"), *hits)
+    tf = [sum((F.size(only(f, [u])) * FIELD_WEIGHTS.get(f, 1.0) for f in fields), F.lit(0.0)) for u in units]
+    per = written(held.select("doc_id", "dl", *[F.when(c > 0, c).alias(f"t{i}") for i, c in enumerate(tf)]), "unit-matches")
+    n, total = per.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    return scored(per, units, n, total / max(1, n), every)
+
+
 def top(rows: DataFrame, k: int, score: str = "score", key: str = "doc_id") -> DataFrame:
     return rows.orderBy(F.desc(score), key).limit(k)
 

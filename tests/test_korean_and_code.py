@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +24,16 @@ def test_terms(spark):
         assert korean.query_terms(w) == got[w][1]
 
 
+def test_terms_of_runs_beside_others(spark):
+    """All words of a text at once give what each word gives by SPLIT."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice([*korean.PARTICLES, "가나", "다", "라마바", " ", "\n", "AB", "-", "9."]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "w string").select("w", korean.index_terms(F.col("w")).alias("i"), korean.content_terms(F.col("w")).alias("c")).collect()
+    for r in rows:
+        parts = [list(m.groups()) if (m := re.match(korean.SPLIT, t)) else [t] for t in re.findall(korean.TOKEN, r.w.lower())]
+        assert r.i == [x for p in parts for x in p] and r.c == [p[0] for p in parts]
+
+
 def test_search_without_particles(spark, tmp_path):
     texts = ["프로젝트의 일정을 관리한다", "일정 관리 프로젝트", "서버에서 데이터를 읽는다", "server data"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, doc string")
