@@ -44,21 +44,24 @@ def containing(texts: DataFrame, patterns: DataFrame, of_text: Callable[[Column]
     side. Patterns without a gram are compared with every text, as every text may have them: they are meant to be few.
     Null texts and patterns match nothing, an empty pattern everything."""
     patterns = patterns.where("pattern IS NOT NULL").select("pattern_id", "pattern", (of_pattern or of_text)(F.col("pattern")).alias("grams"))
+    texts = texts.where("text IS NOT NULL").select("text_id", "text")
     wanted = written(patterns.select("pattern_id", F.explode("grams").alias("gram")), "pattern-grams")
     asked = small(written(wanted.select("gram").distinct(), "asked-grams"))
-    have = texts.where("text IS NOT NULL").select("text_id", F.explode(of_text(F.col("text"))).alias("gram")).join(asked, "gram", "left_semi")
-    have = written(have, "text-grams")
-    counts = have.groupBy("gram").agg(F.count("*").alias("n"))
-    key = wanted.join(counts, "gram", "left").groupBy("pattern_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    pairs = have.join(small(written(key, "pattern-keys")), "gram").select("text_id", "pattern_id")
-    held = patterns.select("pattern_id", "pattern")
-    found = pairs.join(held, "pattern_id").join(texts.select("text_id", "text"), "text_id").where(F.contains("text", F.col("pattern"))).select("text_id", "pattern_id")
+    # the texts are read once to count grams, which takes partial sums only, and once more for the keys
+    counts = texts.select(F.explode(of_text(F.col("text"))).alias("gram")).join(asked, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    key = wanted.join(counts, "gram", "left").groupBy("pattern_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).where("k.n > 0")
+    held = written(key.select("pattern_id", F.col("k.gram").alias("gram")).join(patterns.select("pattern_id", "pattern"), "pattern_id"), "pattern-keys")
+    if (keys := small(held)) is not held:  # patterns go to the texts
+        pairs = texts.select("text_id", "text", F.explode(of_text(F.col("text"))).alias("gram")).join(keys, "gram")
+    else:
+        pairs = texts.select("text_id", F.explode(of_text(F.col("text"))).alias("gram")).join(held, "gram").drop("gram").join(texts, "text_id")
+    found = pairs.where(F.contains("text", F.col("pattern"))).select("text_id", "pattern_id")
     bare = written(patterns.where(F.size("grams") == 0).select("pattern_id", "pattern"), "bare-patterns")
     if bare.limit(1).count():
         n = bare.count()
         if n > 1000:
             raise ValueError(f"{n} patterns have no gram; choose shorter grams")
-        rest = texts.where("text IS NOT NULL").join(F.broadcast(bare), F.contains("text", F.col("pattern"))).select("text_id", "pattern_id")  # at most 1,000 rows
+        rest = texts.join(F.broadcast(bare), F.contains("text", F.col("pattern"))).select("text_id", "pattern_id")  # at most 1,000 rows
         found = found.unionByName(rest)
     return found
 

@@ -10,7 +10,7 @@ from gleanery.operators import containing, index, search, store
 from gleanery.operators.index import Index
 from gleanery.operators.lexquery import Unit
 from gleanery.sources.adapters import DOCUMENTS_SQL, EPOCH, documents, table
-from gleanery.sources.shared import shared_dir, stamp
+from gleanery.sources.shared import shared_dir, stamp, written
 
 D = f"WITH d AS ({DOCUMENTS_SQL})"
 Q: dict = {}
@@ -375,6 +375,7 @@ def retrieval_metrics(spark, sf):
     """Documents that contain a passage are expected for the query of some of its words; results are a search's."""
     name = F.format_string("doc-%08d.md", "doc_id")
     expected = passages_in(spark, sf).select(F.col("pattern_id").alias("query_id"), F.col("text_id").alias("doc_id")).distinct().select("query_id", name.alias("file"))
+    expected = written(expected, "expected-files")
     results = index.many(kept_index(spark, sf), asked(spark, sf), 10).select("query_id", "rank", F.concat(F.lit("notes/"), name).alias("file"))
     m = search.retrieval_metrics(results, expected, 10)
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision_at_k", "recall", "mrr", "f1")], "hits_at_k")

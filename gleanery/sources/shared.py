@@ -20,6 +20,12 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is used up."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stamp(spark: SparkSession, path: str) -> tuple[int, int, int]:
     """Files, bytes and the newest change under a path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -36,3 +36,16 @@ def test_audit(spark):
     assert {r.name: r.ingested for r in C.audited(files, spark.createDataFrame([(k,) for k in keys], "key string")).collect()} == want
     plan = C.audited(files, spark.createDataFrame([(k,) for k in keys], "key string"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_no_table_of_all_grams(spark, monkeypatch):
+    """What is written grows with the patterns and what they find, not with the words of the texts; also by shuffles."""
+    texts = spark.createDataFrame([(k, " ".join(f"w{(k + j) % 50}" for j in range(40))) for k in range(300)], "text_id int, text string")
+    patterns = spark.createDataFrame([(k, " ".join(f"w{k + j}" for j in range(6))) for k in range(4)], "pattern_id int, pattern string")
+    held, want = [], sorted((k, i) for k in range(300) for i in range(4) if (i - k) % 50 + 6 <= 40)
+    write = C.written
+    monkeypatch.setattr(C, "written", lambda df, tag: held.append(out := write(df, tag)) or out)
+    assert sorted(tuple(r) for r in C.containing(texts, patterns, C.all_words, C.inner_words).collect()) == want
+    assert max(t.count() for t in held) <= 4 * 4
+    monkeypatch.setattr(C, "SMALL", 0)
+    assert sorted(tuple(r) for r in C.containing(texts, patterns, C.all_words, C.inner_words).collect()) == want
