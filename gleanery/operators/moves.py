@@ -93,9 +93,15 @@ def owned(registry: DataFrame, events: DataFrame, span: int = SPAN) -> DataFrame
             return written(got.where("owner IS NOT NULL"), "owners")
 
 
+def _own_path(past):
+    """Whether a record's first rename puts the path that it had into its history."""
+    return F.col("path").isNotNull() & ~F.array_contains(past, F.col("path"))
+
+
 def replayed(registry: DataFrame, events: DataFrame, span: int = SPAN) -> DataFrame:
     """registry (id, path, history, tombstone) after the events: the path of its last rename, history with the path it had
-    (if it lacks that) and each new one in order, and whether its last event is a delete. Records without events stay as they are."""
+    (if it lacks that) and each new one in order, and whether its last event is a delete. Records without events stay as they
+    are. A history is one value, so a record's renames are held by one task; see latest for what needs only their number."""
     o = owned(registry, events, span)
     rename = F.col("k.kind") == "rename"
     per = o.groupBy(F.col("owner").alias("id")).agg(
@@ -104,7 +110,7 @@ def replayed(registry: DataFrame, events: DataFrame, span: int = SPAN) -> DataFr
         (F.max("k").getField("kind") == "delete").alias("_gone"),
     )
     past = F.coalesce("history", F.array().cast("array<string>"))
-    own = F.when(F.array_contains(past, F.col("path")) | F.col("path").isNull(), F.array().cast("array<string>")).otherwise(F.array("path"))
+    own = F.when(_own_path(past), F.array("path")).otherwise(F.array().cast("array<string>"))
     return registry.join(per, "id", "left").select(
         "id",
         F.coalesce("_to", "path").alias("path"),
@@ -113,6 +119,26 @@ def replayed(registry: DataFrame, events: DataFrame, span: int = SPAN) -> DataFr
     )
 
 
+def latest(registry: DataFrame, events: DataFrame, span: int = SPAN) -> DataFrame:
+    """id, path and tombstone as replayed gives them, and n_history, the number of paths in its history (null where that is
+    null). No history is made, so a record may have any number of events."""
+    o = owned(registry, events, span)
+    rename = F.col("k.kind") == "rename"
+    per = o.groupBy(F.col("owner").alias("id")).agg(
+        F.max_by(F.when(rename, F.col("to")), F.when(rename, F.col("k"))).alias("_to"),
+        F.count(F.when(rename, 1)).alias("_n"),
+        (F.max("k").getField("kind") == "delete").alias("_gone"),
+    )
+    past = F.coalesce("history", F.array().cast("array<string>"))
+    n = F.size(past) + F.when(F.col("_n") > 0, _own_path(past).cast("int") + F.col("_n")).otherwise(0)
+    return registry.join(per, "id", "left").select(
+        "id",
+        F.coalesce("_to", "path").alias("path"),
+        F.when(F.col("history").isNotNull() | F.col("_n").isNotNull(), n).cast("int").alias("n_history"),
+        F.coalesce("_gone", "tombstone").alias("tombstone"),
+    )
+
+
 def followed(pages: DataFrame, before: DataFrame, after: DataFrame, day: str) -> DataFrame:
     """pages (page, id, text) of records whose path or tombstone changed: the front matter names the new path, and a page of
     a deleted source has a note with the day on top of its body, once. Other pages stay; links in them do too."""

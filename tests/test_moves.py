@@ -97,3 +97,22 @@ def test_chain_in_few_rounds(spark, monkeypatch):
     registry, events = [(1, "p0", [], False)], [(k, "rename", f"p{k}", f"p{k + 1}") for k in range(20)]
     df = moves.replayed(spark.createDataFrame(registry, SCHEMA), spark.createDataFrame(events, EVENT))
     assert got(df) == replay(registry, events) and len(tables) <= 10
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_latest_makes_no_history(spark, seed):
+    """Paths, tombstones and the number of paths are those of the whole replay, and no list of a record's events is made."""
+    registry, events = random_log(seed)
+    registry += [(100, None, None, False), (101, "p3", None, None), (102, "other", None, True)]
+    df = moves.latest(spark.createDataFrame(registry, SCHEMA), spark.createDataFrame(events, EVENT), span=7)
+    whole = moves.replayed(spark.createDataFrame(registry, SCHEMA), spark.createDataFrame(events, EVENT), span=7)
+    want = {r.id: (r.path, None if r.history is None else len(r.history), r.tombstone) for r in whole.collect()}
+    assert {r.id: (r.path, r.n_history, r.tombstone) for r in df.collect()} == want
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
+def test_queries_make_no_history(spark):
+    from gleanery.plans import upkeep_queries as q
+
+    for query in (q.rename_events, q.delete_events):
+        assert "collect_list" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
